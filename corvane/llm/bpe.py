@@ -16,19 +16,22 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_as_struct, text_or_empty
 
-BLOCK_CHARS = 4_000_000
-KEPT_WORDS = 1_200_000
+#: Bytes of text in a block, encoded words that a task keeps, and pairs of tokens whose rank it keeps.
+BLOCK_BYTES = 500_000
+KEPT_WORDS = 500_000
+KEPT_PAIRS = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -160,6 +163,8 @@ class Encoder:
         out = [b"".join(map(young.__getitem__, words)) for words in split]
         if len(young) > KEPT_WORDS // 2:
             self.old, self.young = young, {}
+        if len(self.vocabulary.made) > KEPT_PAIRS:
+            self.vocabulary.made.clear()
         return out
 
 
@@ -169,31 +174,32 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def blocks(texts: Iterable[str], limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
-    out: list[str] = []
-    size = 0
-    for t in texts:
-        if out and size + len(t) > limit:
-            yield out
-            out, size = [], 0
-        out.append(t)
-        size += len(t)
-    if out:
-        yield out
+def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``limit`` bytes of a text column; a longer text is a slice of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and held + n > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Two columns: _row (a row of ``docs``, all its columns) and ids (binary: little-endian unsigned 32-bit integers).
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Two columns: _row (a row of ``docs``, its columns in ``keep`` or all) and ids (binary: little-endian unsigned 32-bit integers).
 
     A null text counts as empty and has no ids. Strings that name special tokens are ordinary text.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [x for part in blocks(b.column(1).to_pylist()) for x in encoder(path, pattern).block(part)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["_row", "ids"])
+            for part in blocks(b, 1):
+                ids = encoder(path, pattern).block(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["_row", "ids"])
 
-    base = docs.select(rows_as_struct(docs), text_or_empty(text_col).alias("_text"))
+    base = docs.select(rows_as_struct(docs.select(*[F.col(f"`{c}`") for c in keep]) if keep else docs), text_or_empty(text_col).alias("_text"))
     return base.mapInArrow(encoded, f"_row {base.schema['_row'].dataType.simpleString()}, ids binary")
 
 
@@ -203,9 +209,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens = load_ranks(path)
-        for b in batches:
-            texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(names.index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*names, out_col])
+        for batch in batches:
+            for b in blocks(batch, names.index(ids_col)):
+                texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(names.index(ids_col)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(decoded, f"{schema}, `{out_col}` binary")

@@ -45,9 +45,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
-    scored = toxicity.score(docs, lexicon).select(F.col("_row.doc_id").alias("doc_id"), F.col("_score").alias("score"))
+    scored = toxicity.score(docs, lexicon, keep=["doc_id"]).select(F.col("_row.doc_id").alias("doc_id"), F.col("_score").alias("score"))
     return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
@@ -75,8 +75,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select(F.col("_row.doc_id").alias("doc_id"), "ids")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep=["doc_id"]).select(F.col("_row.doc_id").alias("doc_id"), "ids")
     return digests(bpe.decode(encoded, RANKS))
 
 

@@ -36,6 +36,8 @@ _BREAK = re.compile(r"[\W_]+")
 
 STEM = range(3, 9)
 FEATURES = 3
+#: Rows scored and passed on at once.
+SLICE = 500
 
 
 def fold(text: str) -> str:
@@ -222,13 +224,15 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     return Lexicon(lexicon.terms, lexicon.exceptions, fit_logistic(seen[["a", "b", "c"]].to_numpy(), seen["y"].to_numpy(float)))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """Two columns: _row (a row of ``docs``, all its columns) and _score in 0 to 1. Null and empty texts score as texts without a hit."""
+def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Two columns: _row (a row of ``docs``, its columns in ``keep`` or all) and _score in 0 to 1. Null and empty texts score as texts without a hit."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = pa.array([lexicon.score(t) for t in b.column(1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), out], names=["_row", "_score"])
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                out = pa.array([lexicon.score(t) for t in part.column(1).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), out], names=["_row", "_score"])
 
-    base = docs.select(rows_as_struct(docs), text_or_empty(text_col).alias("_text"))
+    base = docs.select(rows_as_struct(docs.select(*[F.col(f"`{c}`") for c in keep]) if keep else docs), text_or_empty(text_col).alias("_text"))
     return base.mapInArrow(scored, f"_row {base.schema['_row'].dataType.simpleString()}, _score double")
