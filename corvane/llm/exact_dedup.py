@@ -1,8 +1,8 @@
 """Exact deduplication by a content sort (built-in DataFrame functions only).
 
 Texts are normalised by lower-casing A-Z. Spark samples splitters and range-partitions the
-normalised bytes; each partition is sorted (spilling to disk as needed), which puts equal
-texts side by side; the window over the sorted run compares each whole text with its
+normalised bytes (their beginning, then a digest where beginnings are equal); each partition
+is sorted (spilling to disk as needed), which puts equal texts side by side; the window over the sorted run compares each whole text with its
 neighbour and keeps one identifier of every run.
 
 A text so frequent that its run would overload one range is found beforehand by a map-side
@@ -19,6 +19,8 @@ from .common import ascii_lower, cut, partitions, rows_as_struct, text_or_empty
 
 #: A text is hot if it has more rows than one part in HOT_SHARE of a mean partition, so there are fewer than HOT_SHARE * partitions hot texts.
 HOT_SHARE = 4
+#: Characters of a text that the range partitioning looks at, before a digest of the whole.
+SPLITTER = 64
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, keep: str, carry: bool) -> tuple[DataFrame, DataFrame]:
@@ -36,8 +38,10 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: str, carry: bool)
     hot = cut(base.groupBy(weak.alias("_weak")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("_weak"))
 
     cold = base.join(F.broadcast(hot), weak == F.col("_weak"), "left_anti")
-    ranged = cold.select("_id", ascii_lower(F.col("_text")).alias("_norm"), *extra).repartitionByRange("_norm")
-    run = Window.partitionBy("_norm").orderBy(first(F.col("_id")))
+    # Splitters are sampled from the first bytes and a digest, so that the sample's size does not depend on the texts' lengths.
+    placed = cold.select("_id", ascii_lower(F.col("_text")).alias("_norm"), *extra).withColumn("_head", F.substring("_norm", 1, SPLITTER)).withColumn("_tie", F.xxhash64("_norm"))
+    ranged = placed.repartitionByRange("_head", "_tie")
+    run = Window.partitionBy("_head", "_tie", "_norm").orderBy(first(F.col("_id")))
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cold = ranged.select("_id", F.first("_id").over(whole).alias("_keep"), F.count(F.lit(1)).over(whole).alias("_size"), F.row_number().over(run).alias("_rn"), F.sha2("_norm", 256).alias("_sha"), *extra)
 
