@@ -30,9 +30,10 @@ from .common import cut, rows_as_struct, text_or_empty
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһκνοραιτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХ", "aeopcyxijsdhkvopaituabezhikmnoptyxabekmhopctx")
 DIGITS = str.maketrans("0134578", "oieastb")
 SIGNS = {"@": "a", "$": "s", "!": "i"}
-_SIGN = re.compile(r"(?<=[^\W_])[@$!](?=[^\W_])|(?<!\S)[@$](?=[^\W_])")
-_MIXED = re.compile(r"(?=[^\W_]*\d)(?=[^\W_]*[^\W\d_])[^\W_]+")
-_BREAK = re.compile(r"[\W_]+")
+_SIGN = re.compile(r"[@$!](?=[^\W_])")
+_DIGITS = re.compile("[0134578]+")
+_FOREIGN = re.compile(f"[{''.join(map(chr, HOMOGLYPHS))}]")
+_WORD = re.compile(r"[^\W_]+")
 
 STEM = range(3, 9)
 FEATURES = 3
@@ -40,15 +41,27 @@ FEATURES = 3
 SLICE = 500
 
 
+def _sign(m: re.Match) -> str:
+    """A sign before a letter stands for one; an exclamation mark only within a word."""
+    return SIGNS[m[0]] if m[0] != "!" or m.string[m.start() - 1 : m.start()].isalnum() else m[0]
+
+
+def _digits(m: re.Match) -> str:
+    """Digits beside a letter stand for letters."""
+    beside = m.string[m.start() - 1 : m.start()] + m.string[m.end() : m.end() + 1]
+    return m[0].translate(DIGITS) if any(c.isalpha() for c in beside) else m[0]
+
+
 def fold(text: str) -> str:
     """The text as words of letters between single spaces, with a space at either end."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).casefold().translate(HOMOGLYPHS)
-    else:
-        text = text.lower()
-    text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    text = _MIXED.sub(lambda m: m[0].translate(DIGITS), text)
-    return f" {_BREAK.sub(' ', text).strip()} "
+        text = unicodedata.normalize("NFKC", text)
+    text = text.casefold()
+    if _FOREIGN.search(text):
+        text = text.translate(HOMOGLYPHS)
+    text = _SIGN.sub(_sign, text)
+    text = _DIGITS.sub(_digits, text)
+    return f" {' '.join(_WORD.findall(text))} "
 
 
 @dataclass
@@ -114,15 +127,16 @@ def _sketch(folded: str) -> int:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms by label and sketch of a batch's texts, each once a text."""
+    """Terms of the toxic texts of a batch with the text's sketch, each pair once."""
     for b in batches:
-        seen: set[tuple[str, int, int]] = set()
+        seen: set[tuple[str, int]] = set()
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            folded = fold(text)
-            s = _sketch(folded)
-            seen.update((t, y, s) for t in _terms(folded))
+            if y == 1:
+                folded = fold(text)
+                s = _sketch(folded)
+                seen.update((t, s) for t in _terms(folded))
         rows = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["term", "y", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "sketch"])
 
 
 def choose_terms(counts: Iterable[tuple[str, int, int]], positives: int, negatives: int) -> dict[str, float]:
@@ -161,11 +175,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[flo
     return tuple(float(b) for b in beta)
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_documents: int = 20_000, max_terms: int = 20_000, extra_terms: dict[str, float] | None = None, extra_exceptions: Iterable[str] = ()) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_documents: int = 8000, max_terms: int = 100_000, extra_terms: dict[str, float] | None = None, extra_exceptions: Iterable[str] = ()) -> Lexicon:
     """Learns the lexicon from at most ``max_documents`` labelled documents for which ``use`` (over the labels) holds.
 
-    They are those of smallest hash of the id, so a rerun takes the same ones. Near copies
-    count once. A word before or after a term makes an exception phrase if at least three
+    They are those of smallest hash of the id, so a rerun takes the same ones. Near copies of
+    toxic texts count once, and the ``max_terms`` terms that most of them hold are looked at. A word before or after a term makes an exception phrase if at least three
     texts hold it and four fifths of them are not toxic. Rows with a null id or label teach
     nothing; without both labels the lexicon holds only ``extra_terms``.
     """
@@ -183,17 +197,28 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     lexicon = Lexicon(terms, {fold(p) for p in extra_exceptions})
     if not positives or not negatives:
         return lexicon
-    counts = (
-        sample.mapInArrow(_counted, "term string, y int, sketch bigint")
-        .groupBy("term", "y", "sketch")
+    toxic = (
+        sample.mapInArrow(_counted, "term string, sketch bigint")
+        .groupBy("term", "sketch")
         .agg(F.lit(1).alias("_"))
         .groupBy("term")
-        .agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"))
-        .filter((F.col("pos") >= 5) & (F.col("pos") >= 0.9 * (F.col("pos") + F.col("neg"))))
+        .agg(F.count(F.lit(1)).alias("pos"))
+        .filter("pos >= 5")
         .orderBy(F.col("pos").desc(), "term")
         .limit(max_terms)
     )
-    learnt = choose_terms([tuple(r) for r in counts.collect()], positives, negatives)
+    pos = {r["term"]: r["pos"] for r in toxic.collect()}
+
+    def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if y != 1:
+                    seen.update(t for t in _terms(fold(text)) if t in pos)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+
+    neg = {r["term"]: r["neg"] for r in sample.mapInArrow(elsewhere, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("neg")).collect()}
+    learnt = choose_terms([(t, n, neg.get(t, 0)) for t, n in pos.items()], positives, negatives)
     lexicon = Lexicon(learnt | terms, lexicon.exceptions)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
                 seen.update((p, y) for p in near)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["p", "y", "n"])
 
-    pos = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0))
-    spare = sample.mapInArrow(phrases, "p string, y int, n bigint").groupBy("p").agg(pos.alias("pos"), F.sum("n").alias("n")).filter("n >= 3 and pos <= 0.2 * n").orderBy(F.col("n").desc(), "p").limit(max_terms)
+    held = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0))
+    spare = sample.mapInArrow(phrases, "p string, y int, n bigint").groupBy("p").agg(held.alias("pos"), F.sum("n").alias("n")).filter("n >= 3 and pos <= 0.2 * n").orderBy(F.col("n").desc(), "p").limit(max_terms)
     lexicon = Lexicon(lexicon.terms, lexicon.exceptions | {r["p"] for r in spare.collect()})
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
