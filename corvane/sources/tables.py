@@ -41,7 +41,8 @@ def read_articles(spark: SparkSession, path: str, multi_line: bool = False) -> D
 def read_topic_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Articles of files named checkpoint_<topic>.data.json; an article without a topic takes its file's."""
     df = spark.read.schema(ARTICLE).json(pattern)
-    of_file = F.regexp_extract(F.col("_metadata.file_name"), r"checkpoint_(.*)\.data\.json", 1)
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    of_file = F.regexp_extract(name, r"checkpoint_(.*)\.data\.json", 1)
     return df.withColumn("topic", F.coalesce("topic", of_file))
 
 
