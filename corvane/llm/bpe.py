@@ -30,8 +30,8 @@ from .common import rows_as_struct, text_or_empty
 
 #: Bytes of text in a block, encoded words that a task keeps, and pairs of tokens whose rank it keeps.
 BLOCK_BYTES = 500_000
-KEPT_WORDS = 500_000
-KEPT_PAIRS = 400_000
+KEPT_WORDS = 240_000
+KEPT_PAIRS = 240_000
 
 
 @lru_cache(maxsize=4)
@@ -187,35 +187,43 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def spell(ids: list[bytes | None], tokens: list[bytes]) -> pa.Array:
+    """The bytes that packed ids stand for."""
+    return pa.array([b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids], pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Two columns: _row (a row of ``docs``, its columns in ``keep`` or all) and ids (binary: little-endian unsigned 32-bit integers).
 
-    A null text counts as empty and has no ids. Strings that name special tokens are ordinary text.
+    With decoded, a third: what the ids decode to, as ``decode`` gives it, without passing
+    the rows through a second Python worker. A null text counts as empty and has no ids.
+    Strings that name special tokens are ordinary text.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in blocks(b, 1):
-                ids = encoder(path, pattern).block(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["_row", "ids"])
+                own = encoder(path, pattern)
+                ids = own.block(part.column(1).to_pylist())
+                more = [spell(ids, own.vocabulary.tokens)] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *more], names=["_row", "ids", "decoded"][: 2 + decoded])
 
     base = docs.select(rows_as_struct(docs.select(*[F.col(f"`{c}`") for c in keep]) if keep else docs), text_or_empty(text_col).alias("_text"))
-    return base.mapInArrow(encoded, f"_row {base.schema['_row'].dataType.simpleString()}, ids binary")
+    return base.mapInArrow(encoded, f"_row {base.schema['_row'].dataType.simpleString()}, ids binary{', decoded binary' if decoded else ''}")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """The columns of ``encoded`` and ``out_col``, the bytes (binary) that the ids stand for; null ids count as none."""
     names = encoded.columns
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens = load_ranks(path)
         for batch in batches:
             for b in blocks(batch, names.index(ids_col)):
-                texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(names.index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*names, out_col])
+                yield pa.RecordBatch.from_arrays([*b.columns, spell(b.column(names.index(ids_col)).to_pylist(), tokens)], names=[*names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(decoded, f"{schema}, `{out_col}` binary")
+    return encoded.mapInArrow(read, f"{schema}, `{out_col}` binary")
 
 
 def id_array(ids: str = "ids"):

@@ -232,6 +232,8 @@ def test_bpe_round_trip_of_odd_rows(odd, nothing):
     assert encoded.select("_row.*").columns == odd.columns
     back = bpe.decode(encoded.select(F.col("_row.text").alias("text"), "ids"), PATH).collect()
     assert sorted(bytes(r.decoded).decode() for r in back) == sorted(r[1] or "" for r in ROWS)
+    both = bpe.encode(odd, PATH, public_tokenizers.PATTERN, decoded=True).collect()
+    assert sorted(bytes(r.decoded) for r in both) == sorted(bytes(r.decoded) for r in back)
     one = bpe.encode(odd.filter("doc_id = 1"), PATH, public_tokenizers.PATTERN, keep=["doc_id"]).select("ids", bpe.id_array().alias("a")).first()
     assert one.a == np.frombuffer(bytes(one.ids), "<u4").tolist()
     assert bpe.encode(nothing, PATH, public_tokenizers.PATTERN).count() == 0
