@@ -124,6 +124,21 @@ def test_repeated_passages_against_brute_force(spark):
         assert covered <= set(range(at, at + len(want))) and len(covered) >= len(want) - 10
 
 
+def test_passage_of_two_documents_around_a_line_of_many(spark):
+    rng = random.Random(9)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    docs, want = [], []
+    for group in range(0, 4000, 100):
+        line, before, after = some(44), some(3), some(3)
+        for i in range(group, group + 12):
+            near = i - group in (4, 9)
+            docs.append((i, " ".join(some(60) + before * near + line + after * near + some(60))))
+        want += [group + 4, group + 9]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(df).collect()}
+    assert sorted(got) == want and all(sum(s.end - s.start for s in r.spans) >= 45 for r in got.values())
+
+
 def test_passages_odd_rows(odd, nothing):
     got = substring_dedup.repeated_passages(odd)
     assert got.count() == 0
