@@ -139,6 +139,24 @@ def test_passage_of_two_documents_around_a_line_of_many(spark):
     assert sorted(got) == want and all(sum(s.end - s.start for s in r.spans) >= 45 for r in got.values())
 
 
+def test_near_equal_passages(spark):
+    rng = random.Random(11)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    docs, far = [], []
+    for g in range(0, 200, 4):
+        # 50 words with one changed and 100 with two share 0.80 and 0.81 of their shingles; 50 with two share 0.64.
+        for i, (n, changed) in enumerate(((50, (25,)), (100, (33, 66)))[g % 8 // 4 : g % 8 // 4 + 1] + ((50, (17, 33)),)):
+            passage = some(n)
+            other = [some(1)[0] if j in changed else w for j, w in enumerate(passage)]
+            docs += [(g + 2 * i + j, " ".join(some(80) + p + some(80))) for j, p in enumerate((passage, other))]
+        far += [g + 2, g + 3]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(df).collect()}
+    assert not set(got) & set(far)
+    assert len(got) >= 0.95 * (len(docs) - len(far))
+    assert all(80 <= s.start + 5 and s.end <= 185 for r in got.values() for s in r.spans)
+
+
 def test_passages_odd_rows(odd, nothing):
     got = substring_dedup.repeated_passages(odd)
     assert got.count() == 0
