@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -139,6 +138,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "sketch"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Label and sketch of every text."""
+    for b in batches:
+        found = [_sketch(fold(t)) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.int64())], names=["y", "sketch"])
+
+
 def choose_terms(counts: Iterable[tuple[str, int, int]], positives: int, negatives: int) -> dict[str, float]:
     """Weights of the terms that mark toxic texts.
 
@@ -179,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     """Learns the lexicon from at most ``max_documents`` labelled documents for which ``use`` (over the labels) holds.
 
     They are those of smallest hash of the id, so a rerun takes the same ones. Near copies of
-    toxic texts count once, and the ``max_terms`` terms that most of them hold are looked at. A word before or after a term makes an exception phrase if at least three
+    a text count once under its label, and the ``max_terms`` terms that most of them hold are looked at. A word before or after a term makes an exception phrase if at least three
     texts hold it and four fifths of them are not toxic. Rows with a null id or label teach
     nothing; without both labels the lexicon holds only ``extra_terms``.
     """
@@ -191,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
         .limit(max_documents)
     )
     sample = cut(docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "y").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism)))
-    by_label = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_label = {r["y"]: r["n"] for r in sample.mapInArrow(_sketches, "y int, sketch bigint").distinct().groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     positives, negatives = by_label.get(1, 0), by_label.get(0, 0)
     terms = {fold(t): w for t, w in (extra_terms or {}).items()}
     lexicon = Lexicon(terms, {fold(p) for p in extra_exceptions})
@@ -211,19 +217,22 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
 
     def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
+            seen: set[tuple[str, int]] = set()
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if y != 1:
-                    seen.update(t for t in _terms(fold(text)) if t in pos)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+                    folded = fold(text)
+                    s = _sketch(folded)
+                    seen.update((t, s) for t in _terms(folded) if t in pos)
+            rows = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "sketch"])
 
-    neg = {r["term"]: r["neg"] for r in sample.mapInArrow(elsewhere, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("neg")).collect()}
+    neg = {r["term"]: r["neg"] for r in sample.mapInArrow(elsewhere, "term string, sketch bigint").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("neg")).collect()}
     learnt = choose_terms([(t, n, neg.get(t, 0)) for t, n in pos.items()], positives, negatives)
     lexicon = Lexicon(learnt | terms, lexicon.exceptions)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
+            seen: set[tuple[str, int, int]] = set()
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 folded = fold(text)
                 near = set()
@@ -233,11 +242,13 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
                     after = folded.find(" ", right + 1)
                     near |= {folded[max(left, 0) : right + 1]} if start > 0 else set()
                     near |= {folded[start : after + 1]} if after > 0 else set()
-                seen.update((p, y) for p in near)
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["p", "y", "n"])
+                if near:
+                    s = _sketch(folded)
+                    seen.update((p, y, s) for p in near)
+            rows = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["p", "y", "sketch"])
 
-    held = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0))
-    spare = sample.mapInArrow(phrases, "p string, y int, n bigint").groupBy("p").agg(held.alias("pos"), F.sum("n").alias("n")).filter("n >= 3 and pos <= 0.2 * n").orderBy(F.col("n").desc(), "p").limit(max_terms)
+    spare = sample.mapInArrow(phrases, "p string, y int, sketch bigint").distinct().groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count(F.lit(1)).alias("n")).filter("n >= 3 and pos <= 0.2 * n").orderBy(F.col("n").desc(), "p").limit(max_terms)
     lexicon = Lexicon(lexicon.terms, lexicon.exceptions | {r["p"] for r in spare.collect()})
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,6 +92,18 @@ def test_toxicity_learns(spark):
     assert " vilegit " in lexicon.terms and any(t.startswith(" zzor") for t in lexicon.terms)
 
 
+def test_copies_of_a_clean_text_count_once(spark):
+    rng = random.Random(4)
+    text = lambda *more: " ".join([*(rng.choice(WORDS) for _ in range(60)), *more, *(rng.choice(WORDS) for _ in range(60))])
+    toxic = [text("vilegit") for _ in range(40)]
+    clean = [text() for _ in range(150)] + [text("plain", "vilegit")] * 100
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert any(" vilegit ".startswith(t) for t in lexicon.terms)
+    assert " plain vilegit " not in lexicon.exceptions
+
+
 def test_toxicity_takes_odd_rows(spark, odd, nothing):
     got = toxicity.score(odd, toxicity.Lexicon({" one ": 5.0}))
     assert got.select("_row.*").columns == odd.columns and got.count() == odd.count()
