@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..functions.vector import cosine, dot
 
-#: Queries that are sent to every task at once: a bound on what is broadcast. More queries are searched in turns.
+#: Vectors of a block: blocks of queries meet blocks of entries.
 QUERY_BLOCK = 4096
 
 
@@ -62,55 +62,59 @@ def encode_with_reuse(df: DataFrame, stored: DataFrame, text: str, embed: Callab
     return both, both.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-def _searched(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str) -> DataFrame:
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+def _packed(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (id, v) as blocks of at most QUERY_BLOCK: the ids and the matrix of vectors, as bytes. All vectors have one length."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f[f["v"].notna()]
-            if not len(f):
-                continue
-            x = np.vstack(f["v"].to_numpy()).astype(float)
-            s = matrix @ x.T
-            if metric == "cosine":
-                s = s / np.maximum(np.linalg.norm(x, axis=1), 1e-300)
-            # One place more than asked, as a query may find itself.
-            m = min(k + 1, s.shape[1])
-            pick = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            found = pd.DataFrame({"q": np.repeat(ids, m), "c": f["c"].to_numpy()[pick].ravel(), "s": np.take_along_axis(s, pick, 1).ravel()})
-            best = found if best is None else pd.concat([best, found]).sort_values(["q", "s"], ascending=[True, False]).groupby("q").head(k + 1)
-        if best is not None:
-            yield best
-
-    return corpus.mapInPandas(search, "q bigint, c bigint, s double")
+            for at in range(0, len(f), QUERY_BLOCK):
+                part = f.iloc[at : at + QUERY_BLOCK]
+                yield pd.DataFrame([[part["id"].to_numpy(np.int64).tobytes(), np.vstack(part["v"].to_numpy()).astype(float).tobytes()]], columns=names)
+
+    return df.mapInPandas(pack, ", ".join(f"{n} binary" for n in names))
+
+
+def _near_best(s: np.ndarray, m: int, within: float) -> np.ndarray:
+    """Where a row's scores reach its m-th best, or are within rounding of it."""
+    if s.shape[1] <= m:
+        return np.ones(s.shape, bool)
+    return s >= np.partition(s, s.shape[1] - m, axis=1)[:, [s.shape[1] - m]] - within
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "cosine", exclude_self: bool = True, digits: int = 6, slack: int = 8) -> DataFrame:
     """query_id, doc_id, rank, score: the k nearest of every query, ties (at ``digits`` places) to the smaller id.
 
-    Each task multiplies its rows with a block of queries and keeps the best per query; only
-    those are shuffled. Scores of the finalists are taken anew in a fixed order of summation.
+    Equal vectors are one entry with their k + 1 smallest ids. Blocks of queries are joined with
+    blocks of entries in the tasks, and every entry whose score is within the rounding of a
+    query's (k + slack)-th best stays, however many tie. Scores of the finalists are taken anew in a fixed order of summation.
     """
-    order = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).filter("v is not null and size(v) > 0")
-    base = corpus.select(F.col(id_col).alias("c"), F.col(vector_col).alias("v"))
-    found = None
-    last = None
-    while True:
-        block = (order if last is None else order.filter(F.col("q") > last)).orderBy("q").limit(QUERY_BLOCK).toPandas()
-        if not len(block):
-            break
-        last = int(block["q"].iloc[-1])
-        m = np.vstack(block["v"].to_numpy()).astype(float)
-        if metric == "cosine":
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        part = _searched(base, block["q"].to_numpy(), m, k + slack, metric)
-        found = part if found is None else found.unionByName(part)
-        if len(block) < QUERY_BLOCK:
-            break
-    if found is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, rank int, score double")
-    short = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "c"))).filter(F.col("n") <= k + slack)
+    order = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).filter("v is not null and size(v) > 0 and q is not null")
+    base = corpus.select(F.col(id_col).alias("c"), F.col(vector_col).alias("v")).filter("v is not null and size(v) > 0 and c is not null")
+    copies = base.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("c"))).filter(F.col("n") <= k + 1)
+    members = copies.select("c", F.min("c").over(Window.partitionBy("v")).alias("e"))
+    entries = copies.filter("n = 1").select(F.col("c").alias("e"), "v")
+    within = 2 * 10.0**-digits
+    most = k + slack
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for qi, qm, ei, em in zip(f["qi"], f["qm"], f["ei"], f["em"], strict=True):
+                ids, entry = np.frombuffer(qi, np.int64), np.frombuffer(ei, np.int64)
+                m, x = np.frombuffer(qm).reshape(len(ids), -1), np.frombuffer(em).reshape(len(entry), -1)
+                if metric == "cosine":
+                    m, x = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300) for y in (m, x))
+                s = m @ x.T
+                i, j = np.nonzero(_near_best(s, most, within))
+                yield pd.DataFrame({"q": ids[i], "e": entry[j], "s": s[i, j]})
+
+    both = _packed(order.select(F.col("q").cast("bigint").alias("id"), "v"), ["qi", "qm"]).crossJoin(_packed(entries.select(F.col("e").cast("bigint").alias("id"), "v"), ["ei", "em"]))
+    found = both.mapInPandas(search, "q bigint, e bigint, s double")
+    # An entry's score at its place bounds what may still be among the best: ties beyond it stay.
+    best = Window.partitionBy("q").orderBy(F.col("s").desc(), "e")
+    last = Window.partitionBy("q")
+    short = found.withColumn("n", F.row_number().over(best)).withColumn("least", F.min(F.when(F.col("n") <= most, F.col("s"))).over(last)).filter(F.col("s") >= F.col("least") - within)
     measure = cosine if metric == "cosine" else dot
-    scored = short.join(base.withColumnRenamed("v", "vc"), "c").join(order.withColumnRenamed("v", "vq"), "q").select("q", "c", F.round(measure(F.col("vq"), F.col("vc")), digits).alias("score"))
+    scored = short.select("q", "e").join(entries.withColumnRenamed("v", "ve"), "e").join(order.withColumnRenamed("v", "vq"), "q").select("q", "e", F.round(measure(F.col("vq"), F.col("ve")), digits).alias("score")).join(members, "e").select("q", "c", "score")
     if exclude_self:
         scored = scored.filter("q <> c")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "c"))).filter(F.col("rank") <= k)

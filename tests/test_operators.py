@@ -314,6 +314,27 @@ def test_vectors(spark):
     assert one(spark.range(1).select(cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))))) == 0
 
 
+def test_exact_neighbours_among_many_copies(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    # Copies, and multiples whose cosine is the same: smallest ids first, though they come last.
+    x[100:250] = x[100]
+    x[250:] = x[100] * np.arange(2, 52)[:, None]
+    ids = rng.permutation(300)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    u = np.zeros((300, 8))
+    u[ids] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -9)
+    got = {}
+    for r in vectors.knn_exact(df, df, 5).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.doc_id
+    for i in range(300):
+        assert [got[i][n] for n in range(1, 6)] == sorted(range(300), key=lambda j: (-s[i][j], j))[:5]
+
+
 def test_logs(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), ("b", 5.0, 3)], "k string, v double, ts int")
     assert logs.query_stats(df.filter("false"), F.col("v"), F.col("v"), "ts").count() == 0
