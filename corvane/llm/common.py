@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -16,11 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (a local session, as in tests), one is made and set once a session.
+    Where it is unset in a local session (as in tests), one is made and set once a session;
+    on a cluster that is an error, since no folder of one machine would do.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
     return named or sc._jsc.sc().getCheckpointDir().get().rsplit("/", 1)[0]
 
@@ -35,6 +39,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage is cut, and the planner knows the size."""
+    spark = df.sparkSession
+    folder = new_folder(spark, name)
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    # What the rows were made from goes with the driver's next collection of garbage, and Spark removes its shuffle files.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote and nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._folder)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

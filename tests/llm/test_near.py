@@ -95,7 +95,7 @@ def test_simhash_odd_rows(odd, nothing):
 def test_compact_windows_hold_every_subsequence():
     rng = np.random.default_rng(1)
     h, t = rng.permutation(60).astype(np.uint64), 7
-    windows = substring_dedup.compact_windows(h, t)
+    windows = list(zip(*(x.tolist() for x in substring_dedup.compact_windows((h + np.uint64(1)) << np.uint64(32), t)), strict=True))
     for i in range(len(h)):
         for j in range(i + t - 1, len(h)):
             inside = [c for left, c, right in windows if left <= i <= c <= j <= right]
