@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -63,6 +63,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with _place (its number in an order, from 0) and the sums of expressions over the rows before, as columns of the given names.
+
+    Rows are range-partitioned and sorted; places and sums are taken within partitions and
+    set off by the partitions' totals, so that no window holds all rows.
+    """
+    sums = {"_place": F.lit(1)} | (sums or {})
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumns({f"{n}+": e.cast("bigint") for n, e in sums.items()}).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda n, w: F.coalesce(F.sum(n).over(before(w)), F.lit(0))
+    parts = ranged.groupBy(F.col("_part").alias("_p")).agg(*[F.sum(f"{n}+").alias(n) for n in sums])
+    parts = parts.select("_p", *[upto(n, Window.orderBy("_p")).alias(f"{n}<") for n in sums])
+    inside = Window.partitionBy("_part").orderBy("_at")
+    within = ranged.select("*", *[upto(f"{n}+", inside).alias(f"{n}-") for n in sums])
+    return within.join(F.broadcast(parts), F.col("_part") == F.col("_p")).select(*df.columns, *[(F.col(f"{n}-") + F.col(f"{n}<")).alias(n) for n in sums])
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -6,9 +6,9 @@ attention (tanh and sigmoid branches, softmax over the document's passages) weig
 states, and a logistic layer scores their weighted sum. Only documents have labels; which
 passages matter is learnt from them.
 
-The network is fitted on a bounded sample of labelled documents (``max_documents``,
-``max_passages``); scoring reads every document and every passage where it lies, without a
-shuffle.
+The network is fitted on a bounded sample of labelled documents (``max_documents``, and of
+each ``bag_passages`` passages drawn at random where they lie); scoring reads every document
+and every passage where it lies, without a shuffle.
 """
 
 from __future__ import annotations
@@ -39,14 +39,18 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 _POWERS = [np.zeros(0, np.uint64)] * 2
+#: Powers that a worker keeps; more are made anew for a long text.
+_KEEP = 1 << 20
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2**64; kept for the next batch."""
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
-            _POWERS[i] = np.cumprod(np.full(n, base, np.uint64))
-    return [p[:n] for p in _POWERS]
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) >= n:
+        return [p[:n] for p in _POWERS]
+    made = [np.cumprod(np.full(n, base, np.uint64)) for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))]
+    if n <= _KEEP:
+        _POWERS[:] = made
+    return made
 
 
 def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +149,22 @@ def _forward(w: dict, x: np.ndarray, owner: np.ndarray, rows: int) -> dict:
     return {"h": h, "a": a, "g": g, "alpha": alpha, "z": z, "p": 1 / (1 + np.exp(-(z @ w["c"] + w["d"])))}
 
 
+def gradients(w: dict, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean log loss of bags, with respect to every weight."""
+    rows = len(y)
+    f = _forward(w, x, owner, rows)
+    dy = (f["p"] - y) / rows
+    dz = dy[:, None] * w["c"]
+    dh = f["alpha"][:, None] * dz[owner]
+    da = (f["h"] * dz[owner]).sum(1)
+    ds = f["alpha"] * (da - np.bincount(owner, f["alpha"] * da, minlength=rows)[owner])
+    dag = ds[:, None] * w["w"]
+    dta = dag * f["g"] * (1 - f["a"] ** 2)
+    dtg = dag * f["a"] * f["g"] * (1 - f["g"])
+    dh = (dh + dta @ w["V"].T + dtg @ w["U"].T) * (1 - f["h"] ** 2)
+    return {"c": f["z"].T @ dy, "d": dy.sum(), "w": (f["a"] * f["g"]).T @ ds, "V": f["h"].T @ dta, "U": f["h"].T @ dtg, "W": x.T @ dh, "b": dh.sum(0)}
+
+
 def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 250, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
     """Adam on the mean log loss over all bags, with the gradients of the network written out."""
     rows = len(y)
@@ -158,17 +178,7 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 16, gate:
     w = {"W": init(x.shape[1], hidden), "b": np.zeros(hidden), "V": init(hidden, gate), "U": init(hidden, gate), "w": init(gate), "c": init(hidden), "d": np.zeros(())}
     m, v = ({k: np.zeros_like(t) for k, t in w.items()} for _ in range(2))
     for t in range(1, steps + 1):
-        f = _forward(w, x, owner, rows)
-        dy = (f["p"] - y) / rows
-        dz = dy[:, None] * w["c"]
-        dh = f["alpha"][:, None] * dz[owner]
-        da = (f["h"] * dz[owner]).sum(1)
-        ds = f["alpha"] * (da - np.bincount(owner, f["alpha"] * da, minlength=rows)[owner])
-        dag = ds[:, None] * w["w"]
-        dta = dag * f["g"] * (1 - f["a"] ** 2)
-        dtg = dag * f["a"] * f["g"] * (1 - f["g"])
-        dh = (dh + dta @ w["V"].T + dtg @ w["U"].T) * (1 - f["h"] ** 2)
-        grad = {"c": f["z"].T @ dy, "d": dy.sum(), "w": (f["a"] * f["g"]).T @ ds, "V": f["h"].T @ dta, "U": f["h"].T @ dtg, "W": x.T @ dh, "b": dh.sum(0)}
+        grad = gradients(w, x, owner, y)
         for k in w:
             grad[k] = grad[k] + decay * w[k]
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
@@ -177,36 +187,41 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 16, gate:
     return Model(prior, w | {"mean": mean, "scale": scale})
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_documents: int = 3000, max_passages: int = 60_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_documents: int = 3000, bag_passages: int = 64) -> Model:
     """Fits the network on at most ``max_documents`` labelled documents for which ``use`` (over the labels) holds.
 
-    They are those of smallest hash of the id, so a rerun takes the same ones; sampled
-    documents beyond ``max_passages`` passages in all are left out of the fit. Rows with a
-    null id or label teach nothing. Without both labels the model is the labels' share.
+    They are those of smallest hash of the id, so a rerun takes the same ones. Of a document
+    with more than ``bag_passages`` passages so many are drawn at random for the fit, in the
+    task that reads it and alike on every run, so that a long text pushes no other out and
+    the driver gets ``max_documents * bag_passages`` vectors at most. Rows with a null id or
+    label teach nothing. Without both labels the model is the labels' share.
     """
     chosen = (
         labels.filter(use & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("_id"))
+        .groupBy(F.col(id_col).cast("string").alias("_id"))
         .agg(F.max(F.col(label_col).cast("double")).alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_documents)
     )
-    bags = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text").mapInArrow(_encoded, "id bigint, y double, x binary").toPandas().drop_duplicates("id").sort_values("id")
-    bags["x"] = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in bags["x"]]
-    bags = bags[bags["x"].map(len).cumsum() <= max_passages]
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x, _ = encode(b.column(2).slice(i, 1))
+                if len(x) > bag_passages:
+                    x = x[np.sort(np.random.default_rng(len(x)).choice(len(x), bag_passages, replace=False))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["id", "y", "x"])
+
+    bags = docs.select(F.col(id_col).cast("string").alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text").mapInArrow(encoded, "id string, y double, x binary")
+    # Of rows with one id the smallest bag counts.
+    bags = bags.groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("id")
     if not len(bags):
         return Model(0.5)
+    bags["x"] = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in bags["x"]]
     owner = np.repeat(np.arange(len(bags)), bags["x"].map(len))
     return fit(np.vstack(bags["x"]).astype(float), owner, bags["y"].to_numpy())
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, owner = encode(b.column(2))
-        parts = np.split(x.astype(np.float32), np.cumsum(np.bincount(owner, minlength=b.num_rows))[:-1]) if b.num_rows else []
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "y", "x"])
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, score in 0 to 1, passages. Null and empty texts are one empty passage and get a score too."""
 

@@ -3,14 +3,15 @@
 Every version of a file is addressed by the SHA-256 of its content (a blob). The ledger
 holds the pairs of blob and rule version that have been scanned, with their findings. A scan
 reads the versions, keeps one text of each blob, leaves out the rules the ledger holds for
-it, scans the rest, and the findings of all blobs join back to every path that holds them.
+it, scans the rest and adds it to the ledger, which is a Parquet folder; the findings of all
+blobs join back from there to every path that holds them.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -76,6 +77,19 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "
     return todo.select("blob", F.explode("todo").alias("rule")).join(spans, ["blob", "rule"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
 
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger in a folder; none where nothing was written yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def update_ledger(versions: DataFrame, folder: str, text_col: str = "text", rules: tuple = RULES) -> None:
+    """Scans the blobs of ``versions`` that the ledger in the folder lacks, by rule version, and appends them to it. A second run with the same versions and rules scans nothing."""
+    scan(versions, read_ledger(versions.sparkSession, folder), text_col, rules).write.mode("append").parquet(folder)
+
+
 def findings(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple = RULES) -> DataFrame:
     """Every path with the findings of its blob: ``path_col``, blob, found (structs of start, order of the rule, kind, end).
 

@@ -9,6 +9,8 @@ and the calibration come from labelled documents; callers may add terms and phra
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import unicodedata
@@ -35,6 +37,8 @@ _FOREIGN = re.compile(f"[{''.join(map(chr, HOMOGLYPHS))}]")
 _WORD = re.compile(r"[^\W_]+")
 
 STEM = range(3, 9)
+#: Log of the odds that a term is in so many toxic texts by chance: about one in 400,000.
+ODDS = 13
 FEATURES = 3
 #: Rows scored and passed on at once.
 SLICE = 500
@@ -99,7 +103,12 @@ class Lexicon:
                 spared.append((start, last + 1))
             elif start not in best or weight > best[start][1]:
                 best[start] = (last + 1, weight)
-        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in spared)]
+        # The farthest end of all phrases that start up to each phrase's start: a hit is spared if one of those reaches its end.
+        spared.sort()
+        starts = [a for a, _ in spared]
+        ends = list(itertools.accumulate((b for _, b in spared), max))
+        free = lambda s, e: not (i := bisect.bisect_right(starts, s)) or ends[i - 1] < e
+        return [(s, e, w) for s, (e, w) in sorted(best.items()) if free(s, e)]
 
     def features(self, text: str) -> tuple[float, float, float]:
         """Heaviest hit, log of the summed weight per 100 words, log of the summed weight."""
@@ -149,7 +158,7 @@ def choose_terms(counts: Iterable[tuple[str, int, int]], positives: int, negativ
     """Weights of the terms that mark toxic texts.
 
     counts: term, toxic and other texts that hold it. A term is taken if so many toxic texts
-    would hold it by chance with odds of about one in 10**6, and nine of ten texts that hold it
+    would hold it by chance with odds of one in exp(ODDS), and nine of ten texts that hold it
     are toxic. A stem whose texts nearly all hold one longer term gives way to that term; of
     the rest, a term with a stem that is as telling gives way to the stem.
     """
@@ -157,7 +166,7 @@ def choose_terms(counts: Iterable[tuple[str, int, int]], positives: int, negativ
     good = {}
     for term, pos, neg in counts:
         n = pos + neg
-        if pos >= 0.9 * n and n and pos * math.log(1 / base) + (neg * math.log(1 / (1 - base)) if neg else 0) - (math.lgamma(n + 1) - math.lgamma(pos + 1) - math.lgamma(neg + 1)) > 13:
+        if pos >= 0.9 * n and n and pos * math.log(1 / base) + (neg * math.log(1 / (1 - base)) if neg else 0) - (math.lgamma(n + 1) - math.lgamma(pos + 1) - math.lgamma(neg + 1)) > ODDS:
             good[term] = (math.log((pos + 0.5) / (positives + 1)) - math.log((neg + 0.5) / (negatives + 1)), neg / n, pos)
     stems_of = lambda term: [s for n in range(STEM.start + 1, len(term)) if (s := term[:n]) in good]
     loose = {s for term in good for s in stems_of(term) if good[term][2] >= 0.95 * good[s][2]}
@@ -181,11 +190,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[flo
     return tuple(float(b) for b in beta)
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_documents: int = 8000, max_terms: int = 100_000, extra_terms: dict[str, float] | None = None, extra_exceptions: Iterable[str] = ()) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_documents: int = 8000, extra_terms: dict[str, float] | None = None, extra_exceptions: Iterable[str] = ()) -> Lexicon:
     """Learns the lexicon from at most ``max_documents`` labelled documents for which ``use`` (over the labels) holds.
 
     They are those of smallest hash of the id, so a rerun takes the same ones. Near copies of
-    a text count once under its label, and the ``max_terms`` terms that most of them hold are looked at. A word before or after a term makes an exception phrase if at least three
+    a text count once under its label. A word before or after a term makes an exception phrase if at least three
     texts hold it and four fifths of them are not toxic. Rows with a null id or label teach
     nothing; without both labels the lexicon holds only ``extra_terms``.
     """
@@ -203,15 +212,15 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     lexicon = Lexicon(terms, {fold(p) for p in extra_exceptions})
     if not positives or not negatives:
         return lexicon
+    base = positives / (positives + negatives)
     toxic = (
         sample.mapInArrow(_counted, "term string, sketch bigint")
         .groupBy("term", "sketch")
         .agg(F.lit(1).alias("_"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("pos"))
-        .filter("pos >= 5")
-        .orderBy(F.col("pos").desc(), "term")
-        .limit(max_terms)
+        # What the odds of choose_terms need at the very least, at most one text in nine being of the other label.
+        .filter(F.col("pos") * (math.log(1 / base) + math.log(1 / (1 - base)) / 9) > ODDS)
     )
     pos = {r["term"]: r["pos"] for r in toxic.collect()}
 
@@ -248,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
             rows = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["p", "y", "sketch"])
 
-    spare = sample.mapInArrow(phrases, "p string, y int, sketch bigint").distinct().groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count(F.lit(1)).alias("n")).filter("n >= 3 and pos <= 0.2 * n").orderBy(F.col("n").desc(), "p").limit(max_terms)
+    spare = sample.mapInArrow(phrases, "p string, y int, sketch bigint").distinct().groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count(F.lit(1)).alias("n")).filter("n >= 3 and pos <= 0.2 * n")
     lexicon = Lexicon(lexicon.terms, lexicon.exceptions | {r["p"] for r in spare.collect()})
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

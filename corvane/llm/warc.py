@@ -1,11 +1,15 @@
 """WARC archives as a PySpark Python data source (``spark.read.format("warc")`` and ``df.write.format("warc")``).
 
-Reading: every archive file is planned as one partition; equality and IN predicates on
-record_type, page_id, target_uri and payload_digest are pushed down. A task parses a
-record's headers first. A record that the predicates reject, or whose payload no column
-asks for, is skipped undecoded: by a seek in plain files, and by the member length that the
-writer leaves in the gzip extra field in compressed ones (members of other writers are
-inflated and dropped).
+Reading: every archive file is planned as one partition. Record types and header values
+asked for travel to the tasks as options of the load (``read_archives(..., record_type=...)``).
+A task parses a record's headers first. A record that the predicates reject, or whose
+payload no column asks for, is skipped undecoded: by a seek in plain files, and by the member
+length that the writer leaves in the gzip extra field in compressed ones (members of other
+writers are inflated and dropped).
+
+The predicates are options and not Spark's own pushed filters because Spark keeps the reader
+and what was pushed to it with the load: a second query on the same load would be answered
+with the first one's predicates. Filters on a load are left to Spark and always hold.
 
 Writing: each task writes one file of gzip members, one a record.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -24,7 +29,7 @@ from dataclasses import dataclass
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .common import text_or_empty
 
@@ -33,6 +38,8 @@ SCHEMA = "record_type string, record_id string, target_uri string, date string,
 FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "page_id": "X-Page-ID", "payload_bytes": "X-Payload-Length"}
 PUSHED = ("record_type", "page_id", "target_uri", "payload_digest", "record_id", "refers_to")
 CHUNK = 1 << 16
+#: Bytes of a member before its deflated data: the gzip header and the extra field.
+LEAD = 24
 
 
 def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -40,11 +47,11 @@ def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def member(record: bytes) -> bytes:
-    """A gzip member whose extra field "WL" holds the member's own length."""
+    """A gzip member whose extra field "WL" holds the member's own length (64 bits)."""
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = deflate.compress(record) + deflate.flush()
-    length = 20 + len(body) + 8
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHI", 8, b"WL", 4, length) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    length = LEAD + len(body) + 8
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHQ", 12, b"WL", 8, length) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
 def record(head: dict[str, str], payload: bytes) -> bytes:
@@ -62,43 +69,47 @@ def parse_head(raw: bytes) -> dict[str, str]:
 
 
 def read_archive(stream: io.RawIOBase, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers and payload of the records that ``wanted`` (of the headers) accepts, plain or gzipped."""
+    """Headers and payload of the records that ``wanted`` (of the headers) accepts, plain or gzipped. Every byte is inflated once at most."""
     stream = io.BufferedReader(stream, CHUNK)
     while True:
         start = stream.tell()
-        lead = stream.read(20)
+        lead = stream.read(LEAD)
         if not lead.strip():
             return
         if lead[:2] != b"\x1f\x8b":
             stream.seek(start)
             yield from _plain(stream, wanted, with_payload)
             return
-        known = lead[3] & 4 and lead[12:14] == b"WL"
+        known = lead[3] & 4 and lead[12:16] == b"WL\x08\0"
         stream.seek(start)
-        inflate, text, fed = zlib.decompressobj(31), b"", 0
+        inflate, text, fed = zlib.decompressobj(31), bytearray(), 0
 
         def more() -> bool:
-            nonlocal text, fed
+            nonlocal fed
             block = stream.read(CHUNK)  # noqa: B023
             fed += len(block)
-            text += inflate.decompress(block)  # noqa: B023
+            text.extend(inflate.decompress(block))  # noqa: B023
             return bool(block)
 
-        while (end := text.find(b"\r\n\r\n")) < 0 and not inflate.eof and more():
-            pass
-        head = parse_head(text[:end])
+        end, seen = -1, 0
+        while (end := text.find(b"\r\n\r\n", max(0, seen - 3))) < 0 and not inflate.eof:
+            seen = len(text)
+            if not more():
+                break
+        head = parse_head(bytes(text[:end]))
         take = wanted(head)
         if take and with_payload:
             while not inflate.eof and more():
                 pass
-            yield head, text[end + 4 : end + 4 + int(head.get("content-length", 0))]
+            yield head, bytes(memoryview(text)[end + 4 : end + 4 + int(head.get("content-length", 0))])
         elif take:
             yield head, None
         if known:
-            stream.seek(start + struct.unpack("<I", lead[16:20])[0])
+            stream.seek(start + struct.unpack("<Q", lead[16:24])[0])
             continue
+        text = bytearray()
         while not inflate.eof and more():
-            text = b""
+            text.clear()
         stream.seek(start + fed - len(inflate.unused_data))
 
 
@@ -130,15 +141,7 @@ class ArchiveFile(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, schema, options: dict[str, str]):
         self.columns, self.path = [f.name for f in schema.fields], options["path"]
-        self.accepted: dict[str, set] = {}
-
-    def pushFilters(self, filters):
-        for f in filters:
-            name, values = (f.attribute[0], (f.value,) if isinstance(f, EqualTo) else f.value) if isinstance(f, EqualTo | In) and len(f.attribute) == 1 else (None, ())
-            if name in PUSHED:
-                self.accepted[name] = self.accepted.get(name, set(map(str, values))) & set(map(str, values))
-            else:
-                yield f
+        self.accepted = {c: set(json.loads(options[f"only.{c}"])) for c in PUSHED if f"only.{c}" in options}
 
     def partitions(self):
         fs, root = filesystem(self.path)
@@ -219,7 +222,6 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
@@ -266,10 +268,20 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, **kw) -> No
     records(pages, **kw).write.format("warc").mode("append").option("path", path).save()
 
 
-def read_archives(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
-    """Records under a folder; give fewer columns (a schema string) and payloads that none of them needs stay undecoded. Load anew for each set of predicates."""
+def read_archives(spark: SparkSession, path: str, columns: str = SCHEMA, **only) -> DataFrame:
+    """Records under a folder; give fewer columns (a schema string) and payloads that none of them needs stay undecoded.
+
+    Keywords (record_type, page_id, target_uri, payload_digest, record_id, refers_to) give a
+    value or a list of them that a record's header must have; all others are skipped on their
+    headers. A record without the header has none of the values.
+    """
     register(spark)
-    return spark.read.format("warc").schema(columns).option("path", path).load()
+    load = spark.read.format("warc").schema(columns).option("path", path)
+    for column, values in only.items():
+        if column not in PUSHED:
+            raise ValueError(f"no predicate on {column!r}; there are {', '.join(PUSHED)}")
+        load = load.option(f"only.{column}", json.dumps([str(v) for v in (values if isinstance(values, list | tuple | set) else [values])]))
+    return load.load()
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
@@ -277,10 +289,10 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
 
     Responses are read with their payload, of which size and digest are taken anew. Of
     revisits only headers are read, which give the size and digest of the payload they refer
-    to. Each scan is loaded on its own: Spark keeps one set of pushed predicates per load.
+    to.
     """
     heads = SCHEMA.replace(", payload binary", "")
-    of = lambda kind, columns=heads: read_archives(spark, path, columns).filter(F.col("record_type") == kind)
+    of = lambda kind, columns=heads: read_archives(spark, path, columns, record_type=kind)
     responses = of("response", SCHEMA).select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("bigint").alias("refers_to"))
     targets = of("response").select(F.col("record_id").alias("_rid"), F.col("page_id").alias("_target")).dropDuplicates(["_rid"])
     revisits = of("revisit").join(targets, F.col("refers_to") == F.col("_rid"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("_target").alias("refers_to"))

@@ -58,11 +58,43 @@ def test_passages_do_not_depend_on_neighbours():
 
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
-    x, owner, y = rng.normal(size=(12, quality.WIDTH)), np.repeat([0, 1, 2], 4), np.array([1.0, 0, 1])
-    before = quality.fit(x, owner, y, steps=1).score(x, owner, 3)
-    after = quality.fit(x, owner, y, steps=300, decay=0).score(x, owner, 3)
-    loss = lambda p: -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
-    assert loss(after) < 0.05 < loss(before)
+    owner, y = np.repeat([0, 1, 2], [4, 1, 7]), np.array([1.0, 0, 1])
+    x = rng.normal(size=(12, 6))
+    w = {"W": rng.normal(size=(6, 5)), "b": rng.normal(size=5), "V": rng.normal(size=(5, 3)), "U": rng.normal(size=(5, 3)), "w": rng.normal(size=3), "c": rng.normal(size=5), "d": np.array(0.3)}
+
+    def loss():
+        # The network said again, bag by bag.
+        total = 0.0
+        for i in range(3):
+            h = np.tanh(x[owner == i] @ w["W"] + w["b"])
+            s = (np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["w"]
+            alpha = np.exp(s) / np.exp(s).sum()
+            p = 1 / (1 + np.exp(-((alpha[:, None] * h).sum(0) @ w["c"] + w["d"])))
+            total -= np.log(p if y[i] else 1 - p) / 3
+        return total
+
+    got = quality.gradients(w, x, owner, y)
+    for name, weights in w.items():
+        for at in np.ndindex(weights.shape):
+            kept = weights[at].copy()
+            weights[at] = kept + 1e-6
+            above = loss()
+            weights[at] = kept - 1e-6
+            below = loss()
+            weights[at] = kept
+            assert abs((above - below) / 2e-6 - got[name][at]) < 1e-6, name
+
+
+def test_a_long_text_pushes_no_other_out(spark):
+    docs, labels = made(spark, lambda w, r: [x.upper() + "!!" for x in w], n=120)
+    long = spark.createDataFrame([(-1, "word and another " * 1_500_000)], "doc_id bigint, text string")
+    labels = labels.unionByName(spark.createDataFrame([(-1, 1, 0)], labels.schema))
+    model = quality.train(docs.unionByName(long), labels, F.lit(True))
+    got = quality.score(docs, model).join(labels, "doc_id").toPandas()
+    assert ((got.score >= 0.5) == (got.quality == 1)).mean() > 0.95
+    # Ids need not be numbers.
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert quality.train(named, labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), F.lit(True)).weights is not None
 
 
 def test_fold():
@@ -79,6 +111,33 @@ def test_hits_and_exceptions():
     assert toxicity.Lexicon({}).score("anything") < 0.3
 
 
+def test_hits_against_naive_matching():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = " " + "".join(rng.choice("ab ") for _ in range(60)) + " "
+        pick = lambda: text[(i := rng.randrange(55)) : i + rng.randint(1, 6)]  # noqa: B023, E731
+        terms = {pick(): rng.random() for _ in range(6)}
+        spared = {pick() for _ in range(3)}
+        places = lambda p: [i for i in range(len(text)) if text.startswith(p, i)]  # noqa: B023, E731
+        inside = [(i, i + len(p)) for p in spared for i in places(p)]
+        best = {}
+        for p, w in terms.items():
+            for i in places(p) if p not in spared else []:
+                if i not in best or w > best[i][1]:
+                    best[i] = (i + len(p), w)
+        want = [(i, e, w) for i, (e, w) in sorted(best.items()) if not any(a <= i and e <= b for a, b in inside)]
+        assert toxicity.Lexicon(terms, spared).hits(text) == want
+
+
+def test_hits_of_a_long_text_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({" trash ": 3.0}, {" trash can "})
+    began = time.time()
+    assert len(lexicon.hits(" trash can trash no" * 200_000 + " ")) == 200_000
+    assert time.time() - began < 10
+
+
 def test_toxicity_learns(spark):
     def bad(w, r):
         for _ in range(max(1, len(w) // 30)):

@@ -38,14 +38,73 @@ def test_targets_by_resharing(spark):
     assert all(abs(got[s] - target[s]) < 1e-9 for s in order)
 
 
-def test_quotas_are_exact_and_walks_agree():
-    counts, shards = (1000, 37, 0, 400), 13
-    q = mixing.quotas(counts, shards, 4)
-    assert tuple(map(sum, zip(*q, strict=True))) == counts
+def paths_of(counts):
+    """The path of every source, counted plainly."""
+    levels = max(1, (len(counts) - 1).bit_length())
+    group = lambda level, g: sum(counts[g << level : (g + 1) << level])
+    return [tuple(group(level, (s >> level + 1) * 2 + side) for level in reversed(range(levels)) for side in (0, 1)) for s in range(len(counts))]
+
+
+def test_quotas_are_exact_and_fair():
+    counts, shards = (1000, 37, 0, 400, 5), 13
+    paths = paths_of(counts)
+    held = {s: [mixing.Tree(shards, 4).shard_of(b, s, paths[s]) for b in range(n)] for s, n in enumerate(counts)}
+    q = [[held[s].count(i) for s in held] for i in range(shards)]
+    assert all(h == sorted(h) for h in held.values())
     assert max(map(sum, q)) - min(map(sum, q)) <= 1
-    for source, n in enumerate(counts):
-        held = [mixing.shard_of(b, source, counts, shards, 4) for b in range(n)]
-        assert held == sorted(held) and [held.count(s) for s in range(shards)] == [x[source] for x in q]
+    # Over many seeds, a shard's blocks of a source have the mean and the variance of a hypergeometric draw.
+    paths, seen = paths_of((60, 30, 10)), []
+    for seed in range(400):
+        tree = mixing.Tree(4, seed)
+        seen.append([sum(tree.shard_of(b, s, paths[s]) == 2 for b in range(n)) for s, n in enumerate((60, 30, 10))])
+    mean, var = np.mean(seen, axis=0), np.var(seen, axis=0)
+    share = np.array([0.6, 0.3, 0.1])
+    assert np.allclose(mean, 25 * share, atol=0.4) and np.allclose(var, 25 * share * (1 - share) * 75 / 99, rtol=0.3)
+
+
+def test_group_counts(spark):
+    counts = [7, 1, 4, 0, 9, 2]
+    df = spark.createDataFrame([(i, f"s{i}", float(c * 10)) for i, c in enumerate(counts)], "_place bigint, source string, target double")
+    got = {r._place: tuple(r.path) for r in mixing.group_counts(df, 10).collect()}
+    assert got == dict(enumerate(paths_of(counts)))
+
+
+def test_shards_hold_their_quotas(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    sources, planned = mixing.plan(docs)
+    sources = sources.collect()
+    order = sorted(sources, key=lambda r: r._place)
+    blocks = [-(-round(r.target) // 64) for r in order]
+    paths = paths_of(blocks)
+    kw = {"block_words": 64, "shard_blocks": 50}
+
+    def words(seed):
+        mix = mixing.draw(mixing.plan(docs, seed=seed)[0], mixing.plan(docs, seed=seed)[1], **kw, seed=seed)
+        return {(r._source, r.shard): r.w for r in mix.groupBy("_source", "shard").agg(F.sum(F.col("end_word") - F.col("first_word")).alias("w")).collect()}
+
+    total = sum(round(r.target) for r in order)
+    size, shards = mixing.sized(total, **kw)
+    assert size == 64 and shards > 3
+    for seed in (11, 12):
+        got, tree = words(seed), mixing.Tree(shards, seed)
+        want = {}
+        for i, r in enumerate(order):
+            for b in range(blocks[i]):
+                at = (r.source, tree.shard_of(b, i, paths[i]))
+                want[at] = want.get(at, 0) + min(64, round(r.target) - 64 * b)
+        assert got == want
+    assert words(11) != words(12)
+
+
+def test_pieces_put_together_are_the_text(spark):
+    texts = ["  one\ttwo \n\n three four  ", "x " * 500, "a\n" * 300, None, ""]
+    docs = spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    rows = mixing.mixed_documents(docs, pieces=True, block_words=16, shard_blocks=4).collect()
+    assert len({r._shard for r in rows}) > 3
+    for i, t in enumerate(texts[:3]):
+        first = sorted((r._first_word, r.text) for r in rows if r.doc_id == i and r._pass == 0)
+        whole = "".join(x for _, x in first)
+        assert t.startswith(whole) and whole
 
 
 def test_mix_meets_targets_and_reruns_agree(spark, data):
@@ -94,7 +153,7 @@ def test_warc_round_trip(spark):
         r = got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if last[h or ""] == i else ("revisit", last[h or ""]))
-    one = warc.read_archives(spark, folder).filter("page_id = 5").collect()
+    one = warc.read_archives(spark, folder, page_id=5).collect()
     assert [bytes(r.payload).decode() for r in one] == ["ü" * 100000]
     fs, root = warc.filesystem(folder)
     whole = b""
@@ -112,10 +171,31 @@ def test_warc_of_other_writers(tmp_path, spark):
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.record({"WARC-Type": t, "X-Page-ID": str(i)}, b"z" * 100000)) for i, t in ((3, "response"), (4, "request"))))
     got = warc.read_archives(spark, f"file://{tmp_path}").collect()
     assert {(r.page_id, r.record_type, len(r.payload)) for r in got} == {(1, "response", 3), (2, "request", 3000), (3, "response", 100000), (4, "request", 100000)}
-    only = warc.read_archives(spark, f"file://{tmp_path}").filter("record_type = 'request' and page_id in (2, 9)").collect()
+    only = warc.read_archives(spark, f"file://{tmp_path}", record_type="request", page_id=[2, 9]).collect()
     assert [r.page_id for r in only] == [2]
 
 
+def test_warc_filters_on_one_load(spark):
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "v", "same"), (3, "w", "other")], "page_id bigint, url string, html string")
+    folder = new_folder(spark, "warc-reuse")
+    warc.write_archives(spark, pages, folder)
+    load = warc.read_archives(spark, folder)
+    responses, revisits = load.filter("record_type = 'response'"), load.filter("record_type = 'revisit'")
+    assert (responses.count(), revisits.count(), load.count()) == (2, 1, 3)
+    assert responses.union(revisits).count() == 3 and load.filter("page_id = 3").count() == 1
+    assert warc.read_archives(spark, folder, record_type="revisit").filter("page_id = 2").count() == 0
+
+
+def test_warc_reads_large_payloads_in_linear_time():
+    import io
+    import time
+
+    data = warc.member(warc.record({"WARC-Type": "response"}, b"0123456789abcdef" * (100 << 16)))
+    began = time.time()
+    (_, payload), = warc.read_archive(io.BytesIO(data), lambda h: True, True)
+    assert len(payload) == 100 << 20 and time.time() - began < 10
+
+
 def test_warc_reader_skips_payloads():
     class Counting(bytearray):
         pass

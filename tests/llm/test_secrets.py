@@ -46,6 +46,22 @@ def test_ledger_is_incremental(spark):
     assert {r.rule.split(":")[0] for r in again.collect()} == {"hex"} and again.count() == 2
 
 
+def test_ledger_in_a_folder(spark):
+    from corvane.llm.common import new_folder
+
+    folder = new_folder(spark, "ledger-test")
+    docs = spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[2]), (3, TEXTS[0])], "doc_id bigint, text string")
+    scanned = lambda: spark.read.parquet(folder).count()
+    secret_scan.update_ledger(docs.filter("doc_id = 1"), folder)
+    assert scanned() == len(secret_scan.RULES)
+    secret_scan.update_ledger(docs.filter("doc_id > 1"), folder)
+    assert scanned() == 2 * len(secret_scan.RULES)
+    secret_scan.update_ledger(docs, folder)
+    assert scanned() == 2 * len(secret_scan.RULES)
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in secret_scan.findings(docs, secret_scan.read_ledger(spark, folder)).collect()}
+    assert got == {1: brute(TEXTS[0]), 2: brute(TEXTS[2]), 3: brute(TEXTS[0])}
+
+
 def test_odd_rows_and_empty(odd, nothing):
     assert secret_scan.findings(odd, secret_scan.scan(odd)).count() == odd.count()
     assert secret_scan.findings(nothing, secret_scan.scan(nothing)).count() == 0
