@@ -1,21 +1,29 @@
 """Approximate nearest neighbours (largest inner product) by shifted space-filling curves.
 
-Vectors are extended by one coordinate that gives all the same norm, so the largest inner
-product is the nearest point. Each of several curves projects them by a random rotation of
-its own to a few coordinates, shifts those at random and orders the vectors along a Hilbert
-curve. Spark range-partitions and sorts every curve; the order is dealt in windows of
-``window`` vectors. A query is compared with its own window and both neighbours on every
-curve, the windows' best are merged, and the best of all are reranked on the original
-vectors in double precision.
+Each of CURVES curves turns the vectors by a random rotation of its own, projects them onto
+the faces of a cube (a vector belongs to the face of its largest coordinate, positive or
+negative) and orders every face along a Hilbert curve through a few other coordinates,
+shifted at random. Spark range-partitions and sorts all curves; the order is dealt in windows.
+A query enters at its place on the faces that it points at most, over all curves (``probes``
+of them), and is compared with its own window and both neighbours there; the windows' best
+are merged, and the best of all are reranked on the original vectors in double precision.
+
+Windows grow with the square root of the rows, so that recall holds as the table grows, and
+the work of a query with them.
+
+Lengths: vectors are dealt in bands of norms a factor of two apart, each with curves of its
+own, for what is nearest by angle among longer vectors is no rule for shorter ones. A query
+passes over bands whose longest vector cannot reach its k-th best score among the LONGEST
+vectors of all: nothing is lost by that.
 
 Equal vectors are one entry of the index, with their k + 1 smallest ids: a vector that a
-third of all rows share makes no window larger. Work grows linearly with the rows. Only the
-grids of the projections are fitted, on a bounded sample (``sample`` vectors).
+third of all rows share makes no window larger. Nothing is fitted to the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,9 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, running, stored
 
-CURVES, WINDOW, DIMENSIONS, BITS, SAMPLE = 12, 2048, 8, 7, 10_000
+#: Curves; places a query enters them at in each band; coordinates of a face's Hilbert curve and bits of each; faces at most: twice so many projected coordinates.
+CURVES, PROBES, DIMENSIONS, BITS, PROJECTED = 32, 64, 8, 7, 64
+#: A window of n entries has GROWTH * sqrt(n) of them, LEAST_WINDOW at least. Entries that a task's group of windows aims at, and queries it has at most.
+GROWTH, LEAST_WINDOW, GROUP_ENTRIES, GROUP_QUERIES = 0.4, 96, 4096, 2048
+#: Bands of norms; vectors of largest norm that bound the scores.
+BANDS, LONGEST = 16, 2048
+#: Candidates beyond k that a window passes on: scores there are of components rounded to eight bits.
+SLACK = 12
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -62,84 +77,179 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, window: int = WINDOW, dimensions: int = DIMENSIONS, bits: int = BITS, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+@lru_cache(maxsize=4)
+def turns(length: int, curves: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every curve a random projection (orthonormal columns) and a shift."""
+    rng = np.random.default_rng([seed, length])
+    used = min(length, PROJECTED)
+    return [np.linalg.qr(rng.normal(size=(length, used)))[0] for _ in range(curves)], rng.random((curves, DIMENSIONS)) / 2
+
+
+def on_face(y: np.ndarray, face: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Hilbert keys of projected vectors on one face each: the coordinates after the face's own, over that."""
+    d = y.shape[1]
+    used = min(DIMENSIONS, d)
+    at = np.arange(len(y))
+    axis = face % d
+    top = np.maximum(np.abs(y[at, axis]), 1e-300)
+    other = y[at[:, None], (axis[:, None] + 1 + np.arange(used)) % d] / top[:, None]
+    u = np.clip((other + 1) / 2, 0, 1)
+    cells = np.minimum(((u / 2 + shift[:used]) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+    return hilbert_keys(cells, BITS)
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Vectors as a scale (four bytes) and components of eight bits."""
+    scale = np.maximum(np.abs(x).max(1), 1e-300) / 127
+    return [np.float32(s).tobytes() + r.tobytes() for s, r in zip(scale, np.rint(x / scale[:, None]).astype(np.int8), strict=True)]
+
+
+def unpacked(values: pd.Series) -> np.ndarray:
+    raw = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, probes: int = PROBES, growth: float = GROWTH, least_window: int = LEAST_WINDOW, longest: int = LONGEST, seed: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row for which ``queries`` (over ``vectors``) holds.
 
     Nearest first, ties to the smaller id; a query's own row is no candidate; all candidates
     if there are fewer than k. Rows with a null id or a vector that is null, zero or holds
-    null or non-finite components take no part, nor do vectors of another length than most.
-    Of rows with the same id the smallest vector counts. Empty input gives no rows.
+    null or non-finite components take no part. Vectors of different lengths have no inner
+    product: each meets those of its own length. Of rows with the same id the smallest
+    vector counts. Empty input gives no rows.
     """
-    spark = vectors.sparkSession
-    rows = vectors.filter(F.col(id_col).isNotNull() & valid(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    if length is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = cut(rows.filter(F.size("v") == length["n"]).withColumn("h", F.xxhash64("v")))
+    rows = vectors.filter(F.col(id_col).isNotNull() & valid(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("h", F.xxhash64("v")))
     copies = Window.partitionBy("h", "v").orderBy("id")
     ids = cut(rows.select("id", "h", "v", F.row_number().over(copies).alias("n")).filter(F.col("n") <= k + 1))
-    entries = ids.filter("n = 1").select(F.col("id").alias("e"), "h", "v")
-    entry_of = Window.partitionBy("h", "v")
-    members = cut(ids.select("id", F.min("id").over(entry_of).alias("e")))
-    asked = cut(rows.filter("q").select(F.col("id").alias("query_id"), "h", "v").join(entries, ["h", "v"]).select("query_id", "e"))
-    queried = asked.select("e").distinct()
-
-    top = rows.agg(F.sqrt(F.max(dot(F.col("v"), F.col("v")))).alias("m")).first()["m"]
-    some = np.array([r["v"] for r in entries.orderBy(F.xxhash64("e")).limit(sample).select("v").collect()], float)
-    extended = lambda x: np.hstack([x, np.sqrt(np.maximum(0, top * top - (x * x).sum(1)))[:, None]])
-    rng = np.random.default_rng(seed)
-    wide = length["n"] + 1
-    used = min(dimensions, wide)
-    turns = [np.linalg.qr(rng.normal(size=(wide, wide)))[0][:, :used] for _ in range(curves)]
-    shifts = [rng.random(used) / 2 for _ in range(curves)]
-    # Quantiles of each projection: half of the grid's side is the data, and the shift moves it about.
-    grids = [np.quantile(extended(some) @ t, np.linspace(0, 1, 257)[1:-1], axis=0) for t in turns]
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    members = cut(ids.select("id", F.min("id").over(Window.partitionBy("h", "v")).alias("e")))
+    single = ids.filter("n = 1").select(F.col("id").alias("e"), "h", "v", F.size("v").alias("length"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("norm"))
+    asked = cut(rows.filter("q").select(F.col("id").alias("query_id"), "h", "v").join(single.select("e", "h", "v"), ["h", "v"]).select("query_id", "e"))
+
+    most = single.groupBy("length").agg(F.max("norm").alias("_most"))
+    band = F.least(F.lit(BANDS - 1), F.floor(F.log2(F.col("_most") / F.col("norm")))).cast("int")
+    entries = cut(single.drop("h").join(F.broadcast(most), "length").withColumn("band", band).drop("_most"))
+    # At most BANDS rows a length.
+    window = F.greatest(F.lit(least_window), F.ceil(growth * F.sqrt(F.col("n"))))
+    bands = cut(entries.groupBy("length", "band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("ceiling")).withColumn("window", window).withColumn("probes", F.least(F.lit(probes), F.ceil(2 * F.col("n") / F.col("window"))).cast("int")))
+
+    queried = entries.join(asked.select("e").distinct(), "e", "left_semi").select("e", "length", "norm", "v")
+    entered = _entrances(_bounded(queried, entries, bands, k, longest), bands, curves, seed)
+    listed = _listed(entries, curves, seed).unionByName(entered)
+    # Places on the sorted curves count candidates (kind 0) only.
+    order = [F.col(c).asc() for c in ("curve", "length", "band", "face", "key", "e", "kind")]
+    placed = running(listed, order, {"ahead": 1 - F.col("kind")}).drop("_place", "face", "key")
+    starts = placed.groupBy("curve", "length", "band").agg(F.min("ahead").alias("first"))
+    w = F.floor((F.col("ahead") - F.col("first")) / F.col("window"))
+    # Windows go in groups of neighbours; each group also has the window before it and the one after.
+    many = F.ceil(GROUP_ENTRIES / F.col("window"))
+    windowed = placed.join(F.broadcast(starts), ["curve", "length", "band"]).join(F.broadcast(bands.select("length", "band", "window")), ["length", "band"]).withColumn("w", w).withColumn("many", many)
+    groups = lambda *ws: F.explode(F.array_distinct(F.array(*[F.floor(x / F.col("many")) for x in ws])))
+    key = ["curve", "length", "band", "g"]
+    asks = windowed.filter("kind = 1").withColumn("g", groups(F.col("w"))).select(*key, "w", "e")
+    # A group with very many queries is compared in parts.
+    parts = asks.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).alias("parts"))
+    held = windowed.filter("kind = 0").withColumn("g", groups(F.col("w") - 1, F.col("w"), F.col("w") + 1)).select(*key, "w", "e").join(parts, key)
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    asks = asks.join(parts, key).withColumn("part", F.pmod(F.xxhash64("e"), F.col("parts")))
+    both = held.select(*key, "part", "w", "e", F.lit(0).alias("kind")).unionByName(asks.select(*key, "part", "w", "e", F.lit(1).alias("kind")))
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).flatten(), float).reshape(b.num_rows, -1)
-            asks = np.array(b.column(2).fill_null(False)) if b.num_rows else np.zeros(0, bool)
-            # A candidate carries the coordinate that fills up its norm; as a query the same vector has 0 there.
-            for kind, z, who in ((0, extended(x), np.ones(len(x), bool)), (1, np.hstack([x, np.zeros((len(x), 1))]), asks)):
-                for c in range(curves):
-                    y = z[who] @ turns[c]
-                    place = np.stack([np.searchsorted(grids[c][:, i], y[:, i]) for i in range(used)], axis=1) / 256 if len(y) else np.zeros((0, used))
-                    cells = np.minimum(((place / 2 + shifts[c]) * (1 << bits)).astype(np.int64), (1 << bits) - 1)
-                    n = len(y)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(hilbert_keys(cells, bits)), pa.array(np.full(n, kind, np.int32)), b.column(0).filter(pa.array(who))], names=["curve", "key", "kind", "e"])
-
-    listed = entries.join(queried.withColumn("q", F.lit(True)), "e", "left").select("e", "v", "q").mapInArrow(keyed, "curve int, key bigint, kind int, e bigint")
-    # The sorted curves, written once: places are counted within partitions, then over them.
-    ranged = listed.repartitionByRange(partitions(spark), "curve", "key", "e", "kind").sortWithinPartitions("curve", "key", "e", "kind")
-    places = cut(ranged.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()))
-    stretch = places.groupBy("curve", "part").agg(F.min("at").alias("first"), F.sum(1 - F.col("kind")).alias("n"))
-    before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    stretch = stretch.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = Window.partitionBy("curve", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    counted = places.withColumn("ahead", F.coalesce(F.sum(1 - F.col("kind")).over(inside), F.lit(0)))
-    windowed = counted.join(stretch.select("curve", "part", "offset"), ["curve", "part"]).select("curve", F.floor((F.col("offset") + F.col("ahead")) / window).alias("w"), "kind", "e")
-    reach = F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)
-    spread = windowed.withColumn("w", F.explode(F.when(F.col("kind") == 1, reach).otherwise(F.array("w"))))
-    placed = spread.join(entries.select("e", F.transform("v", lambda x: x.cast("double")).alias("v")), "e")
+            out = [packed(np.array([v], float))[0] for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["e", "x"])
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
-        base, asks = frame[frame.kind == 0], frame[frame.kind == 1]
-        if not len(base) or not len(asks):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "e": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64")})
-        base = base.sort_values("e")
-        s = np.vstack(asks.v.to_numpy()) @ np.vstack(base.v.to_numpy()).T
-        m = min(k + 2, len(base))
-        pick = np.argsort(-s, axis=1, kind="stable")[:, :m]
-        return pd.DataFrame({"q": np.repeat(asks.e.to_numpy(), m), "e": base.e.to_numpy()[pick].ravel(), "s": np.take_along_axis(s, pick, 1).ravel()})
-
-    found = placed.groupBy("curve", "w").applyInPandas(best, "q bigint, e bigint, s double")
-    merged = found.groupBy("q", "e").agg(F.max("s").alias("s"))
-    most = Window.partitionBy("q").orderBy(F.col("s").desc(), "e")
-    short = merged.withColumn("n", F.row_number().over(most)).filter(F.col("n") <= k + 2)
-    scored = short.join(entries.select("e", F.col("v").alias("ve")), "e").join(entries.select(F.col("e").alias("q"), F.col("v").alias("vq")), "q").select("q", "e", dot(F.col("vq"), F.col("ve")).alias("score"))
-    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
-    listed = scored.join(members, "e").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).select("q", "id", "score")
+        base, q = frame[frame.kind == 0].sort_values(["w", "e"]), frame[frame.kind == 1].sort_values("w")
+        if not len(base) or not len(q):
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "e": pd.Series(dtype="int64"), "s": pd.Series(dtype="float32")})
+        x, y, at, e = unpacked(base.x), unpacked(q.x), base.w.to_numpy(), base.e.to_numpy()
+        out: list[tuple] = []
+        windows, first, count = np.unique(q.w.to_numpy(), return_index=True, return_counts=True)
+        for w, i, n in zip(windows.tolist(), first.tolist(), count.tolist(), strict=True):
+            a, b = np.searchsorted(at, [w - 1, w + 2])
+            if a == b:
+                continue
+            s = y[i : i + n] @ x[a:b].T
+            m = min(k + SLACK, b - a)
+            pick = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            out.append((np.repeat(q.e.to_numpy()[i : i + n], m), e[a:b][pick].ravel(), np.take_along_axis(s, pick, 1).ravel()))
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip("qes", zip(*out, strict=True), strict=True)} if out else {"q": [], "e": [], "s": []})
+
+    short = stored(entries.select("e", "v").mapInArrow(small, "e bigint, x binary"), "vectors")
+    found = both.join(short, "e").groupBy(*key, "part").applyInPandas(best, "q bigint, e bigint, s float")
+    merged = found.groupBy("q", "e").agg(F.max("s").alias("s")).filter("q <> e or s is not null")
+    top = Window.partitionBy("q").orderBy(F.col("s").desc(), "e")
+    finalists = merged.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + SLACK)
+    scored = finalists.join(entries.select("e", F.col("v").alias("ve")), "e").join(entries.select(F.col("e").alias("q"), F.col("v").alias("vq")), "q").select("q", "e", dot(F.col("vq"), F.col("ve")).alias("score"))
+    order_of = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
+    listed = scored.join(members, "e").withColumn("n", F.row_number().over(order_of)).filter(F.col("n") <= k + 1).select("q", "id", "score")
     own = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     answers = asked.join(listed, asked["e"] == listed["q"]).filter("id <> query_id").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
     return answers.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def _bounded(queried: DataFrame, entries: DataFrame, bands: DataFrame, k: int, longest: int) -> DataFrame:
+    """``queried`` with least: a score that k other entries are known to reach, by the ``longest`` vectors of largest norm (of the commonest length; null for others). It only serves to pass over bands."""
+    common = bands.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bands")).orderBy(F.col("n").desc(), "length").first()
+    if common is None or common["bands"] < 2:
+        return queried.withColumn("least", F.lit(None).cast("double"))
+    some = entries.filter(F.col("length") == common["length"]).orderBy(F.col("norm").desc(), "e").limit(longest).select("e", "v").toPandas()
+    who, known, length = some.e.to_numpy(), np.vstack(some.v.to_numpy()), common["length"]
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            least = np.full(len(f), np.nan)
+            at = np.flatnonzero(f.length.to_numpy() == length)
+            if len(at) and len(who) > k:
+                s = np.vstack(f.v.iloc[at].to_numpy()) @ known.T
+                s[f.e.to_numpy()[at][:, None] == who[None, :]] = -np.inf
+                least[at] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+            yield f.assign(least=least)
+
+    return queried.mapInPandas(scored, "e bigint, length int, norm double, v array<double>, least double").withColumn("least", F.nanvl("least", F.lit(None)))
+
+
+LISTED = "curve int, length int, band int, face int, key bigint, e bigint, kind int"
+
+
+def _listed(entries: DataFrame, curves: int, seed: int) -> DataFrame:
+    """Every entry's place on every curve."""
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for length, f in frame.groupby("length"):
+                x = np.vstack(f.v.to_numpy())
+                rotations, shifts = turns(int(length), curves, seed)
+                for c in range(curves):
+                    y = x @ rotations[c]
+                    face = np.abs(y).argmax(1)
+                    face = face + y.shape[1] * (y[np.arange(len(y)), face] < 0)
+                    yield pd.DataFrame({"curve": c, "length": length, "band": f.band.to_numpy(), "face": face, "key": on_face(y, face, shifts[c]), "e": f.e.to_numpy(), "kind": 0})
+
+    return entries.select("e", "length", "band", "v").mapInPandas(keyed, LISTED)
+
+
+def _entrances(queried: DataFrame, bands: DataFrame, curves: int, seed: int) -> DataFrame:
+    """Where every query enters the curves of each band that may hold one of its nearest: on the faces it points at most."""
+    reach = F.col("least").isNull() | (F.col("norm") * F.col("ceiling") * (1 + 1e-9) >= F.col("least"))
+    into = queried.join(F.broadcast(bands.select("length", "band", "ceiling", "probes")), "length").filter(reach)
+    into = into.groupBy("e", "length", "v").agg(F.collect_list(F.struct("band", "probes")).alias("into"))
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for length, f in frame.groupby("length"):
+                rotations, shifts = turns(int(length), curves, seed)
+                for x, e, into in zip(f.v, f.e, f.into, strict=True):
+                    y = np.stack([x @ r for r in rotations])
+                    d = y.shape[1]
+                    deep = max(b["probes"] for b in into)
+                    pick = np.argsort(-np.concatenate([y, -y], axis=1).ravel(), kind="stable")[:deep]
+                    curve, face = pick // (2 * d), pick % (2 * d)
+                    key = np.empty(len(pick), np.int64)
+                    for c in np.unique(curve):
+                        at = curve == c
+                        key[at] = on_face(np.repeat(y[[c]], at.sum(), axis=0), face[at], shifts[c])
+                    yield pd.concat([pd.DataFrame({"curve": curve[: b["probes"]], "length": length, "band": b["band"], "face": face[: b["probes"]], "key": key[: b["probes"]], "e": e, "kind": 1}) for b in into])
+
+    return into.mapInPandas(keyed, LISTED)

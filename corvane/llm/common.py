@@ -71,7 +71,7 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None =
     """
     sums = {"_place": F.lit(1)} | (sums or {})
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = cut(ranged.withColumns({f"{n}+": e.cast("bigint") for n, e in sums.items()}).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    ranged = stored(ranged.withColumns({f"{n}+": e.cast("bigint") for n, e in sums.items()}).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "running")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     upto = lambda n, w: F.coalesce(F.sum(n).over(before(w)), F.lit(0))
     parts = ranged.groupBy(F.col("_part").alias("_p")).agg(*[F.sum(f"{n}+").alias(n) for n in sums])

@@ -33,7 +33,7 @@ CAP = 3
 #: Words of a block, blocks of a shard, and blocks in all, beyond which blocks are made larger: draws are exact up to there.
 BLOCK_WORDS, SHARD_BLOCKS, MOST_BLOCKS = 1024, 4096, 1 << 29
 #: Documents that share a bucket of the random order; running sums go over buckets first, then within each.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 250
 
 
 def word_count(text_col: str) -> Column:
@@ -74,9 +74,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sums = cut(slim.groupBy("_source", bucket.alias("_bucket")).agg(F.sum("size").alias("_words")))
     by_source = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
     sources = cut(targets(by_source, weights, cap))
-    aims = sources.select(F.col("source").alias("_s"), "source_size", "target")
-    upto = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_words").over(upto), F.lit(0))).join(aims, F.col("_source").eqNullSafe(F.col("_s")))
+    aims = sources.select(F.col("source").alias("_a"), "source_size", "target")
+    line = cut(running(sums, [F.col("_source").asc_nulls_last(), F.col("_bucket").asc()], {"_upto": F.col("_words")}).drop("_place"))
+    heads = line.groupBy(F.col("_source").alias("_s")).agg(F.min("_upto").alias("_head")).join(aims, F.col("_s").eqNullSafe(F.col("_a")))
+    offsets = line.join(heads, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_before", F.col("_upto") - F.col("_head"))
     offsets = offsets.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_before", "source_size", "target")
     rows = (base if carry else slim).withColumn("_bucket", bucket)
     joined = rows.join(offsets, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))

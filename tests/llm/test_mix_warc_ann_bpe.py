@@ -7,6 +7,9 @@ import hashlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet
+import pytest
 import tiktoken
 from conftest_rows import ROWS
 from pyspark.sql import functions as F
@@ -247,17 +250,38 @@ def test_ann_few_and_no_rows(spark):
     assert ann.nearest(df.filter("false"), F.lit(True)).count() == 0
 
 
-def test_ann_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    x = df.toPandas().sort_values("vec_id")
-    m = np.vstack(x.embedding).astype(float)
-    got = ann.nearest(df, F.col("vec_id") % 20 == 0, window=128).toPandas().groupby("query_id").vec_id.apply(set)
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_ann_recall(spark, spread, tmp_path):
+    # 100,000 vectors without structure, of one norm and of log-normal norms: a query's 64 windows of 3 * 127 are a quarter of them at most.
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100_000, 64))
+    x *= np.exp(spread * rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    pa.parquet.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype(np.float32)))}), f"{tmp_path}/v.parquet")
+    m = x.astype(np.float32).astype(float)
+    got = ann.nearest(spark.read.parquet(f"{tmp_path}/v.parquet"), F.col("vec_id") % 500 == 0).toPandas().groupby("query_id").vec_id.apply(set)
     hit = 0
     for q, found in got.items():
         s = m @ m[q]
-        s[q] = -9
+        s[q] = -np.inf
         hit += len(found & set(np.argsort(-s)[:20]))
-    assert hit / (20 * len(got)) >= 0.9
+    assert len(got) == 200 and hit / (20 * len(got)) >= 0.9
+
+
+def test_ann_queries_in_one_place(spark):
+    # All queries point the same way, and vectors have two lengths.
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 16))
+    x[::2] = x[0] + 0.01 * rng.normal(size=x[::2].shape)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, v[:3].tolist()) for i, v in enumerate(x[:50])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 2 == 0).toPandas().groupby("query_id").vec_id.apply(list)
+    assert len(got) == 1525 and all(len(f) == 20 for f in got)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    # Against the score of the 20th: near ties count.
+    hit = sum((s[q, found] >= np.sort(s[q])[-20] - 1e-9).sum() for q, found in got.items() if q < 5000)
+    assert hit / (20 * 1500) >= 0.9
+    assert all(set(found) <= set(range(5000, 5050)) for q, found in got.items() if q >= 5000)
 
 
 def test_hilbert_neighbours_are_adjacent():
