@@ -30,8 +30,13 @@ def content_hash(text: Column) -> Column:
 
 def unique_ratio(text: Column) -> Column:
     """Distinct words over words of the lower-cased text; null without words."""
-    w = words(F.lower(text))
-    return F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w))
+    w = F.array_remove(F.split(F.lower(text), r"\s+"), "")
+    return F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0))
+
+
+def truncated(text: Column, limit: int) -> Column:
+    """The first ``limit`` characters."""
+    return F.substring(text, 1, limit)
 
 
 def first_text(*choices: Column) -> Column:

@@ -49,7 +49,7 @@ def issues(title: Column, abstract: Column, key: Column, strict_reference: bool
     raw = F.concat_ws(" ", title, abstract)
     text = F.lower(raw)
     shout = text.rlike("[a-z]{10,}") if strict_reference else raw.rlike(CAPITALS)
-    letters = F.length(F.regexp_replace(text, "[^a-zA-Z]", "")) / F.greatest(F.length(text), F.lit(1))
+    letters = F.length(F.regexp_replace(text, "[^a-zA-Z]+", "")) / F.greatest(F.length(text), F.lit(1))
     required = F.array_compact(F.array(*[F.when(missing(c), F.lit(f"missing_{n}")) for n, c in (("pmid", key), ("title", title), ("abstract", abstract))]))
     found = F.array_compact(
         F.array(
@@ -103,18 +103,24 @@ def first_of_two_keys(df: DataFrame, key: str, text: str, order: str) -> DataFra
     round keeps the rows that come first among the undecided in both, drops those that
     conflict with kept ones, and goes on with the rest. An empty text has no hash.
     """
-    left = cut(df.select(F.col(order).alias("_o"), F.col(key).alias("_k"), F.when(F.coalesce(F.col(text), F.lit("")) != "", content_hash(F.col(text))).alias("_h")))
-    kept = None
+    hashed = df.select(F.col(order).alias("_o"), F.col(key).alias("_k"), F.when(F.coalesce(F.col(text), F.lit("")) != "", content_hash(F.col(text))).alias("_h"))
+    return df.join(_first_of_both(hashed), F.col(order) == F.col("_keep"), "left_semi")
+
+
+def _first_of_both(hashed: DataFrame) -> DataFrame:
+    """_keep: the places (_o) of the rows (_o, _k, _h) that stay."""
+    left = cut(hashed)
+    kept = left.filter("false").select(F.col("_o").alias("_keep"))
     while not left.isEmpty():
         by_key, by_hash = Window.partitionBy("_k"), Window.partitionBy(F.coalesce("_h", F.concat(F.lit("#"), F.col("_o").cast("string"))))
-        ranked = left.withColumn("_a", F.min("_o").over(by_key)).withColumn("_b", F.min("_o").over(by_hash))
-        now = cut(ranked.filter((F.col("_o") == F.col("_a")) & (F.col("_o") == F.col("_b"))).select("_o", "_k", "_h"))
-        kept = now if kept is None else kept.unionByName(now)
-        rest = left.join(now.select("_k").distinct(), left["_k"].eqNullSafe(now["_k"]), "left_anti")
-        left = cut(rest.join(now.select(F.col("_h").alias("_x")).filter("_x is not null").distinct(), F.col("_h") == F.col("_x"), "left_anti"))
-    if kept is None:
-        return df
-    return df.join(kept.select(F.col("_o").alias("_keep")), F.col(order) == F.col("_keep"), "left_semi")
+        ranked = cut(left.withColumn("_a", F.min("_o").over(by_key)).withColumn("_b", F.min("_o").over(by_hash)))
+        now = ranked.filter((F.col("_o") == F.col("_a")) & (F.col("_o") == F.col("_b")))
+        kept = kept.unionByName(now.select(F.col("_o").alias("_keep")))
+        # Rows that are first in neither: those that a kept row conflicts with go.
+        open_ = ranked.filter((F.col("_o") != F.col("_a")) | (F.col("_o") != F.col("_b"))).select("_o", "_k", "_h")
+        rest = open_.join(now.select(F.col("_k").alias("_x")), F.col("_k").eqNullSafe(F.col("_x")), "left_anti")
+        left = cut(rest.join(now.select(F.col("_h").alias("_x")).filter("_x is not null"), F.col("_h") == F.col("_x"), "left_anti"))
+    return kept
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], k: float = 2.5) -> DataFrame:
@@ -144,11 +150,21 @@ def clean_stats(df: DataFrame, order: str, key: str = "pmid", title: str = "titl
 
     Bounds of outliers are taken over all rows, before any is dropped.
     """
-    checked = df.withColumn("issues", issues(F.col(title), F.col(abstract), F.col(key), strict_reference)).withColumn("score", quality_score(F.col(title), F.col(abstract)))
-    checked = checked.withColumn("abstract_length", F.length(abstract)).withColumn("title_length", F.length(title))
-    flagged = outlier_flags(checked, ["abstract_length", "title_length"])
+    lengths = ["abstract_length", "title_length"]
+    checks = df.select(
+        F.col(order).alias("_o"),
+        F.col(key).alias("_k"),
+        F.when(F.coalesce(F.col(abstract), F.lit("")) != "", content_hash(F.col(abstract))).alias("_h"),
+        issues(F.col(title), F.col(abstract), F.col(key), strict_reference).alias("issues"),
+        quality_score(F.col(title), F.col(abstract)).alias("score"),
+        F.length(abstract).alias("abstract_length"),
+        F.length(title).alias("title_length"),
+    )
+    # Texts are read once: what follows works on these few columns.
+    flagged = cut(outlier_flags(cut(checks), lengths))
     passed = flagged.filter(F.size("issues") == 0)
-    unique = first_of_two_keys(passed, key, abstract, order)
+    unique = passed.join(_first_of_both(passed.select("_o", "_k", "_h")), F.col("_o") == F.col("_keep"), "left_semi")
     totals = flagged.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size("issues") == 0).alias("passed"), F.count_if(F.size("issues") > 0).alias("failed"))
     kept = unique.agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.size("anomalies") > 0).alias("anomalies"), F.round(F.avg("score"), 4).alias("mean_score"))
-    return unique, totals.crossJoin(kept).withColumn("duplicates", F.col("passed") - F.col("kept"))
+    rows = df.join(unique.select(F.col("_o").alias("_keep"), "issues", "score", *lengths, "anomalies"), F.col(order) == F.col("_keep")).drop("_keep")
+    return rows, totals.crossJoin(kept).withColumn("duplicates", F.col("passed") - F.col("kept"))

@@ -65,8 +65,8 @@ def compare(summaries: list[DataFrame], methods: list[str]) -> DataFrame:
 
 def judged_from_topics(docs: DataFrame, key: str = "doc_id", topic: str = "topic", title: str = "title", per_topic: int = 3, relevant: int = 10, least_docs: int = 10, least_title: int = 20, grade: int = 2) -> DataFrame:
     """query_id, query, relevant_doc_ids, grade: titles of topics with enough documents stand for questions, the topic's first documents for answers."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(topic))
-    big = docs.withColumn("_n", n).filter(F.col("_n") >= least_docs)
+    large = docs.groupBy(F.col(topic).alias("_t")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_docs)
+    big = docs.join(large.select("_t"), F.col(topic) == F.col("_t"), "left_semi")
     # At most ``relevant`` ids per topic are gathered.
     first = big.withColumn("_i", F.row_number().over(Window.partitionBy(topic).orderBy(key))).filter(F.col("_i") <= relevant)
     ids = first.groupBy(topic).agg(F.array_sort(F.collect_list(key)).alias("relevant_doc_ids"))

@@ -44,18 +44,24 @@ def hybrid(hits: DataFrame, k: int, alpha: float = ALPHA, use_rrf: bool = True,
     return top(scaled, "hybrid_score", k)
 
 
-def fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None, k: int, rrf_k: int = RRF_K, digits: int = 6) -> DataFrame:
+def fuse(lists: dict[str, DataFrame], weights: dict[str, float] | DataFrame | None, k: int, rrf_k: int = RRF_K, digits: int = 6) -> DataFrame:
     """Reciprocal rank fusion of named lists (query_id, doc_id, rank, score): each list's rank and score stay as columns.
 
     Weights belong to names, so a missing list takes no other's; without weights all count
-    1. Hits without a document are skipped. query_id, doc_id, rank, rrf_score, <name>_rank, <name>_score.
+    1; a table of weights has query_id and a column for each name. Hits without a document
+    are skipped. query_id, doc_id, rank, rrf_score, <name>_rank, <name>_score.
     """
+    each = weights if isinstance(weights, DataFrame) else None
+    fixed = (lambda name: 1.0) if weights is None else (lambda name: 0.0) if each is not None else (lambda name: float(weights.get(name, 0.0) if weights else 1.0))
     tagged = None
     for name, df in lists.items():
-        part = df.filter(F.col("doc_id").isNotNull()).select("query_id", "doc_id", "rank", "score", F.lit(name).alias("list"), F.lit(float((weights or {}).get(name, 1.0 if not weights else 0.0))).alias("weight"))
+        part = df.filter(F.col("doc_id").isNotNull()).select("query_id", "doc_id", "rank", "score", F.lit(name).alias("list"), F.lit(fixed(name)).alias("weight"))
         tagged = part if tagged is None else tagged.unionByName(part)
     if tagged is None:
         raise ValueError("no lists")
+    if each is not None:
+        named = each.select(F.col("query_id").alias("_q"), F.create_map(*[x for n in lists for x in (F.lit(n), F.col(n).cast("double"))]).alias("_w"))
+        tagged = tagged.join(named, F.col("query_id") == F.col("_q")).withColumn("weight", F.col("_w")[F.col("list")])
     of = lambda name, c: F.max(F.when(F.col("list") == name, F.col(c)))
     fused = tagged.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") / (rrf_k + F.col("rank"))), digits).alias("rrf_score"), *[x for n in lists for x in (of(n, "rank").alias(f"{n}_rank"), of(n, "score").alias(f"{n}_score"))])
     return top(fused, "rrf_score", k)

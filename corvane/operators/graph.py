@@ -101,12 +101,22 @@ def neighbours(start: DataFrame, edge_rows: DataFrame, node_rows: DataFrame, hop
     An entity may be reached at several distances. With limit, so many rows per start.
     """
     both = _both(edge_rows)
+    last = both
+    if limit is not None:
+        # The last hop needs no more of a hub than its first neighbours by id: so many that the start and the edges used cannot use them up.
+        by_id = Window.partitionBy("a").orderBy("b")
+        last = both.withColumn("_r", F.dense_rank().over(by_id)).filter(F.col("_r") <= limit + hops).drop("_r")
     paths = start.select(F.col("start"), F.col("start").alias("at"), F.array().cast("array<struct<source:string,relation:string,target:string>>").alias("used"))
     out = None
     for d in range(1, hops + 1):
-        paths = paths.join(both, paths["at"] == both["a"]).filter(~F.array_contains("used", F.col("edge"))).select("start", F.col("b").alias("at"), F.array_append("used", F.col("edge")).alias("used"))
+        step = last if d == hops else both
+        paths = paths.join(step, paths["at"] == step["a"]).filter(~F.array_contains("used", F.col("edge"))).select("start", F.col("b").alias("at"), F.array_append("used", F.col("edge")).alias("used"))
         reached = paths.select("start", F.col("at").alias("id"), F.lit(d).alias("distance")).distinct()
         out = reached if out is None else out.unionByName(reached)
+        if limit is not None and d < hops:
+            # Who has enough near ones already looks no farther.
+            full = out.filter("id <> start").groupBy(F.col("start").alias("_s")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= limit)
+            paths = paths.join(full, F.col("start") == F.col("_s"), "left_anti")
     named = out.filter("id <> start").join(node_rows, "id").select("start", "id", "name", "type", "distance")
     if limit is None:
         return named
@@ -117,8 +127,11 @@ def neighbours(start: DataFrame, edge_rows: DataFrame, node_rows: DataFrame, hop
 def treatments(names: DataFrame, edge_rows: DataFrame, node_rows: DataFrame, limit: int = 20) -> DataFrame:
     """names (name) -> name, id, other: TREATS neighbours in either direction of nodes whose name holds the given one."""
     both = _both(edge_rows.filter("relation = 'TREATS'")).select("a", "b").distinct()
-    given = F.broadcast(names.select("name").distinct())  # the questions' few names
-    matched = node_rows.select("id", F.lower("name").alias("_l")).join(given, F.col("_l").contains(F.lower(F.col("name")))).select("name", "id")
+    # A node meets the names it holds by an equality on the parts of its own name, not by trying every name on every node.
+    low = F.lower("name")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(F.sequence(F.lit(1), F.length(low) - i + 1), lambda n: F.substring(low, i, n))))
+    held = node_rows.filter(F.length("name") > 0).select("id", F.explode(F.array_distinct(parts)).alias("_part"))
+    matched = names.select("name").distinct().join(held, F.lower("name") == F.col("_part")).select("name", "id")
     found = matched.join(both, matched["id"] == both["a"]).select("name", F.col("b").alias("id")).distinct().join(node_rows.select("id", F.col("name").alias("other")), "id")
     w = Window.partitionBy("name").orderBy("id")
     return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).select("name", "id", "other")

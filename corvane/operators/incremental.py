@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
+from ..sources.tables import cut
 from .vectors import knn_exact
 
 # Least similarity for reuse, seconds an answer lives, answers a store holds.
@@ -45,17 +46,46 @@ def run(df: DataFrame, done_path: str, store_path: str, embed: Callable[[DataFra
     A failure in between repeats rows, whose vectors have the same key: read the store by ``latest_vectors``.
     """
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(done_path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = spark.createDataFrame([], f"{key} {df.schema[key].dataType.simpleString()}")
+    done = stored_or_none(spark, done_path)
+    if done is None:
+        done = df.select(key).filter("false")
     fresh = unprocessed(df, done, key).dropDuplicates([key]).withColumn("text", F.concat_ws(" ", "title", "abstract"))
     embed(fresh).write.mode("append").parquet(store_path)
     fresh.select(key).write.mode("append").parquet(done_path)
 
 
+def check_and_update(spark: SparkSession, folder: str, manifest_path: str, done_path: str, store_path: str, embed: Callable[[DataFrame], DataFrame], read: Callable[[SparkSession, list[str]], DataFrame], key: str = "pmid") -> DataFrame:
+    """Looks at a folder and brings the vectors up to date: one row of status, new, modified, deleted (files) and added (rows encoded).
+
+    New and modified files are read and run through ``run``, which leaves out what was
+    processed before; then the new manifest is written, so that a run that failed in between
+    starts again from the old one. Deleted files are counted; their vectors stay, as other
+    files may hold the same articles. Rows: status is no_changes or updated.
+    """
+    now = cut(manifest(spark, folder))
+    versions = stored_or_none(spark, manifest_path)
+    before = now.filter("false") if versions is None else versions.filter(F.col("version") == versions.agg(F.max("version")).first()[0]).select("path", "mark")
+    changes = cut(diff(now, before))
+    counts = changes.groupBy().agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("new", "modified", "deleted")])
+    # File names of the changed files: they are what the next read is given.
+    changed = [r["path"] for r in changes.filter("change <> 'deleted'").select("path").collect()]
+    held = lambda: 0 if (d := stored_or_none(spark, done_path)) is None else d.count()
+    old = held()
+    if changed:
+        run(read(spark, changed), done_path, store_path, embed, key)
+    last = -1 if versions is None else versions.agg(F.max("version")).first()[0]
+    if not changes.isEmpty():
+        now.withColumn("version", F.lit(last + 1)).write.mode("append").parquet(manifest_path)
+    status = F.when(F.col("new") + F.col("modified") + F.col("deleted") > 0, "updated").otherwise("no_changes")
+    return counts.select(status.alias("status"), "new", "modified", "deleted", F.lit(held() - old).cast("bigint").alias("added"))
+
+
+def stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table in a folder, or none where nothing was written yet."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+
+
 def latest_vectors(store: DataFrame, key: str = "pmid") -> DataFrame:
     return store.dropDuplicates([key])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import running
+
 
 def query_stats(log: DataFrame, recall: Column, latency: Column, results: str = "num_results") -> DataFrame:
     """One row of count and means; no row for an empty log."""
@@ -63,13 +65,19 @@ def topic_bytes(df: DataFrame, topic: str, bytes_of: Column | None = None, targe
 
 
 def topic_quota(df: DataFrame, topic: str, order: str, bytes_of: Column, target: int, batch: int = 200) -> DataFrame:
-    """Rows of each topic in batches until its bytes reach the target: the batch that reaches it is the last kept."""
-    w = Window.partitionBy(topic).orderBy(order)
-    numbered = df.withColumn("_b", F.floor((F.row_number().over(w) - 1) / batch)).withColumn("_n", bytes_of)
-    sums = numbered.groupBy(topic, "_b").agg(F.sum("_n").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.partitionBy(topic).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = sums.withColumn("_before", before).filter(F.col("_before") < target).select(topic, "_b")
-    return numbered.join(kept, [topic, "_b"], "left_semi").drop("_b", "_n")
+    """Rows of each topic in batches until its bytes reach the target: the batch that reaches it is the last kept.
+
+    Rows are numbered in a sort over all topics, so that a large topic is in no single task.
+    """
+    slim = df.select(F.col(topic).alias("_t"), F.col(order).alias("_o"), bytes_of.alias("_n"))
+    placed = running(slim, [F.col("_t").asc_nulls_last(), F.col("_o").asc()])
+    starts = placed.groupBy(F.col("_t").alias("_s")).agg(F.min("_place").alias("_first"))
+    numbered = placed.join(starts, F.col("_t").eqNullSafe(F.col("_s"))).select("_t", "_o", "_n", F.floor((F.col("_place") - F.col("_first")) / batch).alias("_b"))
+    sums = running(numbered.groupBy("_t", "_b").agg(F.sum("_n").alias("_sum")), [F.col("_t").asc_nulls_last(), F.col("_b").asc()], {"_upto": F.coalesce("_sum", F.lit(0))})
+    heads = sums.groupBy(F.col("_t").alias("_s")).agg(F.min("_upto").alias("_head"))
+    kept = sums.join(heads, F.col("_t").eqNullSafe(F.col("_s"))).filter(F.col("_upto") - F.col("_head") < target).select(F.col("_t").alias("_kt"), F.col("_b").alias("_kb"))
+    rows = numbered.join(kept, F.col("_t").eqNullSafe(F.col("_kt")) & (F.col("_b") == F.col("_kb")), "left_semi").select("_t", "_o")
+    return df.join(rows, F.col(topic).eqNullSafe(F.col("_t")) & (F.col(order) == F.col("_o")), "left_semi")
 
 
 def pass_summary(df: DataFrame, component: str, passed: Column) -> DataFrame:

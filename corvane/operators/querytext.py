@@ -1,7 +1,6 @@
-"""Query text: abbreviations, synonyms, variants and key terms, by tables that the caller supplies.
+"""Query text: abbreviations, synonyms, variants and key terms, by the tables below or the caller's.
 
-A dictionary is a table (pos, term, canonical order of synonyms) small enough to hold as
-expressions: a list of (term, synonyms) in order.
+A dictionary is a list of (term, synonyms) in order, small enough to hold as expressions.
 """
 
 from __future__ import annotations
@@ -11,9 +10,83 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, words
 
-# A small dictionary of our own; callers bring theirs.
-ABBREVIATIONS = {"SQL": "structured query language", "API": "application programming interface", "CPU": "central processing unit", "RAM": "random access memory", "BP": "blood pressure"}
-SYNONYMS = (("search", ("retrieval", "lookup")), ("document", ("text", "record")), ("error", ("fault", "failure")), ("pain", ("ache", "soreness")))
+# Abbreviations and what they stand for.
+ABBREVIATIONS = {
+    "DM": "diabetes mellitus",
+    "HTN": "hypertension",
+    "CVD": "cardiovascular disease",
+    "CVA": "cerebrovascular accident",
+    "MI": "myocardial infarction",
+    "CHF": "congestive heart failure",
+    "COPD": "chronic obstructive pulmonary disease",
+    "CKD": "chronic kidney disease",
+    "RA": "rheumatoid arthritis",
+    "OA": "osteoarthritis",
+    "T2DM": "type 2 diabetes mellitus",
+    "T1DM": "type 1 diabetes mellitus",
+    "HbA1c": "glycated hemoglobin",
+    "BMI": "body mass index",
+    "BP": "blood pressure",
+    "HR": "heart rate",
+    "ECG": "electrocardiogram",
+    "EKG": "electrocardiogram",
+    "MRI": "magnetic resonance imaging",
+    "CT": "computed tomography",
+    "PET": "positron emission tomography",
+    "ICU": "intensive care unit",
+    "ED": "emergency department",
+    "GI": "gastrointestinal",
+    "CNS": "central nervous system",
+    "HIV": "human immunodeficiency virus",
+    "AIDS": "acquired immunodeficiency syndrome",
+    "COVID": "coronavirus disease",
+    "SARS": "severe acute respiratory syndrome",
+}
+# Terms and their synonyms, in order.
+SYNONYMS = (
+    ("diabetes", ("diabetes mellitus", "DM", "diabetic", "hyperglycemia", "blood sugar disorder")),
+    ("糖尿病", ("diabetes", "diabetes mellitus", "DM", "血糖异常", "高血糖")),
+    ("hypertension", ("high blood pressure", "HTN", "elevated blood pressure", "arterial hypertension")),
+    ("高血压", ("hypertension", "HTN", "血压升高", "动脉高压")),
+    ("cancer", ("carcinoma", "malignancy", "tumor", "neoplasm", "oncology")),
+    ("癌症", ("cancer", "carcinoma", "malignancy", "肿瘤", "恶性肿瘤")),
+    ("heart disease", ("cardiovascular disease", "CVD", "cardiac disease", "heart condition")),
+    ("心脏病", ("heart disease", "cardiovascular disease", "CVD", "心血管疾病")),
+    ("stroke", ("cerebrovascular accident", "CVA", "brain attack", "cerebral infarction")),
+    ("中风", ("stroke", "CVA", "脑卒中", "脑梗塞", "脑血管意外")),
+    ("alzheimer", ("alzheimer's disease", "AD", "dementia", "cognitive decline")),
+    ("阿尔茨海默", ("alzheimer", "AD", "老年痴呆", "认知障碍")),
+    ("asthma", ("bronchial asthma", "reactive airway disease", "wheezing disorder")),
+    ("哮喘", ("asthma", "bronchial asthma", "支气管哮喘")),
+    ("arthritis", ("joint inflammation", "rheumatoid arthritis", "osteoarthritis", "RA", "OA")),
+    ("关节炎", ("arthritis", "RA", "OA", "风湿性关节炎", "骨关节炎")),
+    ("pneumonia", ("lung infection", "pulmonary infection", "chest infection")),
+    ("肺炎", ("pneumonia", "lung infection", "肺部感染")),
+    ("obesity", ("overweight", "adiposity", "excess weight", "BMI elevation")),
+    ("肥胖", ("obesity", "overweight", "超重", "体重过重")),
+    ("fever", ("pyrexia", "elevated temperature", "febrile", "hyperthermia")),
+    ("发烧", ("fever", "pyrexia", "发热", "体温升高")),
+    ("pain", ("ache", "discomfort", "soreness", "tenderness", "algesia")),
+    ("疼痛", ("pain", "ache", "不适", "酸痛")),
+    ("fatigue", ("tiredness", "exhaustion", "weakness", "lethargy", "asthenia")),
+    ("疲劳", ("fatigue", "tiredness", "乏力", "虚弱")),
+    ("cough", ("tussis", "coughing", "expectoration")),
+    ("咳嗽", ("cough", "tussis", "干咳", "咳痰")),
+    ("headache", ("cephalalgia", "head pain", "migraine")),
+    ("头痛", ("headache", "cephalalgia", "偏头痛")),
+    ("treatment", ("therapy", "management", "intervention", "cure", "remedy")),
+    ("治疗", ("treatment", "therapy", "management", "疗法", "干预")),
+    ("surgery", ("operation", "surgical procedure", "surgical intervention")),
+    ("手术", ("surgery", "operation", "外科手术")),
+    ("medication", ("drug", "medicine", "pharmaceutical", "pharmacotherapy")),
+    ("药物", ("medication", "drug", "medicine", "用药")),
+    ("prevention", ("prophylaxis", "preventive measures", "risk reduction")),
+    ("预防", ("prevention", "prophylaxis", "预防措施")),
+    ("diagnosis", ("diagnostic", "detection", "identification", "assessment")),
+    ("诊断", ("diagnosis", "diagnostic", "检测", "评估")),
+    ("symptoms", ("signs", "manifestations", "clinical features", "presentations")),
+    ("症状", ("symptoms", "signs", "表现", "临床特征")),
+)
 Dictionary = tuple[tuple[str, tuple[str, ...]], ...]
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fusion import top
+from . import querytext
+from .fusion import adaptive_weights, fuse, top
 from .lexical import overlap
 
 
@@ -63,8 +64,6 @@ def retrieve(queries: DataFrame, vector: Callable[[DataFrame, int], DataFrame] |
 
     method is vector, text or hybrid; texts: doc_id, text. query_id, doc_id, rank, score.
     """
-    from .fusion import fuse
-
     lists = {n: f(queries, 3 * k) for n, f in (("vector", vector), ("text", text)) if f is not None and method in (n, "hybrid")}
     if not lists:
         raise ValueError(f"no retriever for method {method!r}")
@@ -75,10 +74,39 @@ def retrieve(queries: DataFrame, vector: Callable[[DataFrame, int], DataFrame] |
     return rerank(named, k).select("query_id", "doc_id", "rank", F.col("rerank_score").alias("score"))
 
 
+# Terms that make a question one about a known matter.
+KNOWN_TERMS = ("diabetes", "cancer", "treatment", "symptoms", "diagnosis", "糖尿病", "癌症", "治疗", "症状", "诊断")
+
+
+def ensemble(queries: DataFrame, vector: Callable[[DataFrame, int], DataFrame], text: Callable[[DataFrame, int], DataFrame], k: int, dictionary: querytext.Dictionary = querytext.SYNONYMS, abbreviations: dict[str, str] = querytext.ABBREVIATIONS, terms: tuple[str, ...] = KNOWN_TERMS) -> DataFrame:
+    """Three lists fused by weights that fit the query's shape: query_id, doc_id, rank, rrf_score and each list's rank and score.
+
+    The lists: 3k by the vector of the query with its abbreviations spelt out, 2k by the
+    vector of its first variant with a synonym, and 3k by the words of the enhanced query. A
+    query without a variant has two lists and the weights for two. Weights belong to names.
+    """
+    plain = queries.select("query_id", "query", querytext.expand_abbreviations(F.col("query"), abbreviations).alias("_plain"))
+    asked = plain.select("query_id", F.col("_plain").alias("query"))
+    variants = querytext.variants(F.col("_plain"), 2, dictionary)
+    wider = plain.withColumn("_v", variants).filter(F.size("_v") > 1).select("query_id", F.col("_v")[1].alias("query"))
+    rich = queries.select("query_id", querytext.enhanced(F.col("query"), dictionary, abbreviations).alias("query"))
+    lists = {"vector": vector(asked, 3 * k), "expanded": vector(wider, 2 * k), "text": text(rich, 3 * k)}
+    three, two = adaptive_weights(F.col("query"), terms), adaptive_weights(F.col("query"), terms, lists=2)
+    has = F.size(querytext.variants(F.col("_plain"), 2, dictionary)) > 1
+    weights = plain.withColumn("_three", three).withColumn("_two", two).withColumn("_has", has)
+    of = lambda n: F.when(F.col("_has"), F.col(f"_three.{n}")).otherwise(F.lit(0.0) if n == "expanded" else F.col(f"_two.{n}"))
+    return fuse(lists, weights.select("query_id", *[of(n).alias(n) for n in lists]), k)
+
+
 def fetch(hits: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return hits.join(chunks, key)
 
 
 def sample_corpus(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows that a rerun takes again."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), key)), key).limit(n)
+
+
+def at_least(hits: DataFrame, least: float, score: str = "score") -> DataFrame:
+    """Hits of at least a similarity."""
+    return hits.filter(F.col(score) >= least)

@@ -129,11 +129,21 @@ def cells(corpus: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "
 
 def knn_cells(queries: DataFrame, corpus: DataFrame, model, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, doc_id, rank, score as knn_exact, from the ``probes`` cells nearest to each query only."""
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    v = F.col(vector_col)
-    near = F.slice(F.array_sort(F.transform(centres, lambda c, i: F.struct(F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("cell")))), 1, probes)
-    placed = corpus.select(F.col(id_col).alias("c"), v.alias("vc"), near[0]["cell"].alias("cell"))
-    asked = queries.select(F.col(id_col).alias("q"), v.alias("vq"), F.explode(near).alias("x")).select("q", "vq", "x.cell")
+    centres = np.array(model.clusterCenters(), float)
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Cells in order of distance; ties go to the smaller number.
+        for f in frames:
+            x = np.vstack(f["v"].to_numpy()).astype(float) if len(f) else np.zeros((0, centres.shape[1]))
+            far = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
+            yield f.assign(near=list(np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        base = df.select(F.col(id_col).alias(name), F.col(vector_col).alias("v")).filter("v is not null")
+        return base.mapInPandas(nearest, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in base.schema.fields) + ", near array<int>")
+
+    placed = dealt(corpus, "c").select("c", F.col("v").alias("vc"), F.col("near")[0].alias("cell"))
+    asked = dealt(queries, "q").select("q", F.col("v").alias("vq"), F.explode("near").alias("cell"))
     scored = asked.join(placed, "cell").filter("q <> c").select("q", "c", F.round(cosine(F.col("vq"), F.col("vc")), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "c"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("query_id"), F.col("c").alias("doc_id"), "rank", "score")

@@ -251,7 +251,15 @@ def term_class(spark: SparkSession, sf: str) -> DataFrame:
     return articles(spark, sf).select("doc_id", graph.term_class(F.col("title")).alias("class"))
 
 
-@query(None)
+ASKED = "ae AS (" + " UNION ALL ".join(f"SELECT item_id AS query_id, '{w}' AS entity, '{kind}' AS type FROM benchmark WHERE contains(lower(text), '{w}')" for kind, ws in NAMES.items() for w in ws) + ")"
+
+
+@query(f"""WITH {GRAPH}, {ASKED}, p AS (SELECT a AS start, b AS id, 1 AS distance FROM bo UNION SELECT x.a, y.b, 2 FROM bo x JOIN bo y ON x.b = y.a AND x.e <> y.e),
+nr AS (SELECT start, p.id, name, distance FROM p JOIN nd ON nd.id = p.id WHERE p.id <> start QUALIFY row_number() OVER (PARTITION BY start ORDER BY distance, p.id) <= 30),
+t AS (SELECT DISTINCT nd.name, x.b AS id FROM nd JOIN bo x ON x.a = nd.id WHERE x.e LIKE '%|TREATS|%'), tr AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY id) <= 20),
+al AS (SELECT query_id, 0 AS o, distance AS d, nr.id, nr.name FROM ae JOIN nr ON nr.start = replace(ae.entity, ' ', '_') UNION ALL SELECT query_id, 1, 0, tr.id, nd.name FROM ae JOIN tr ON tr.name = ae.entity JOIN nd ON nd.id = tr.id WHERE ae.type = 'DISEASE'),
+f AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY o, d) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o, d, id)::INT AS n, id, name FROM f QUALIFY n <= 10""")
 def graph_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _graph(spark, sf)
     return graph.retrieve(questions(spark, sf), edges, nodes, 10, NAMES)

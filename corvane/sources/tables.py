@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ARTICLE = "pmid string, title string, abstract string, authors array<string>, pub_date string, keywords array<string>, mesh_terms array<string>, topic string, full_text string"
@@ -15,10 +16,16 @@ MESSAGE = "pmid string, title string, abstract string, topic string"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of the session's own only where that is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset in a local session (as in tests), one is made and set once a session;
+    on a cluster that is an error, since no folder of one machine would do.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
     return named or sc._jsc.sc().getCheckpointDir().get().rsplit("/", 1)[0]
 
@@ -33,6 +40,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage is cut, and the planner knows the size."""
+    spark = df.sparkSession
+    folder = new_folder(spark, name)
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def freed(spark: SparkSession) -> None:
+    """Collects the driver's garbage: Spark then removes the shuffle files of what nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote and nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._folder)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with _place (its number in an order, from 0) and the sums of expressions over the rows before, as columns of the given names.
+
+    Rows are range-partitioned and sorted; places and sums are taken within partitions and
+    set off by the partitions' totals, so that no window holds all rows.
+    """
+    sums = {"_place": F.lit(1)} | (sums or {})
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumns({f"{n}+": e.cast("bigint") for n, e in sums.items()}).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "running")
+    upto = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy(F.col("_part").alias("_p")).agg(*[F.sum(f"{n}+").alias(n) for n in sums])
+    parts = parts.select("_p", *[upto(n, Window.orderBy("_p")).alias(f"{n}<") for n in sums])
+    inside = Window.partitionBy("_part").orderBy("_at")
+    within = ranged.select("*", *[upto(f"{n}+", inside).alias(f"{n}-") for n in sums])
+    return within.join(F.broadcast(parts), F.col("_part") == F.col("_p")).select(*df.columns, *[(F.col(f"{n}-") + F.col(f"{n}<")).alias(n) for n in sums])
+
+
 def read_articles(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Articles of a JSON array on one line or of JSON lines; multi_line for a pretty-printed array."""
     return spark.read.schema(ARTICLE).option("multiLine", multi_line).json(path)
@@ -46,6 +93,23 @@ def read_topic_files(spark: SparkSession, pattern: str) -> DataFrame:
     return df.withColumn("topic", F.coalesce("topic", of_file))
 
 
+def write_topic_files(df: DataFrame, path: str, topic: str = "topic") -> None:
+    """One JSON-lines file named checkpoint_<topic>.data.json for every topic; rows without a topic go to none."""
+    spark = df.sparkSession
+    parts = f"{path}/_parts"
+    df.filter(F.col(topic).isNotNull()).withColumn("_t", F.col(topic)).repartition("_t").write.partitionBy("_t").json(parts)
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # One renaming a topic; contents are not read.
+    for folder in fs.listStatus(at(parts)):
+        if folder.isDirectory():
+            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().partition("=")[2])
+            for i, f in enumerate(f for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")):
+                fs.rename(f.getPath(), at(f"{path}/checkpoint_{name}.data.json" if i == 0 else f"{path}/{i}_checkpoint_{name}.data.json"))
+    fs.delete(at(parts), True)
+
+
 def read_judged(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     df = spark.read.schema(JUDGED).option("multiLine", True).json(path)
     return df if n is None else df.orderBy("id").limit(n)
@@ -95,6 +159,11 @@ def attach_vectors(meta: DataFrame, vectors: DataFrame, key: str = "chunk_id") -
     return meta.join(vectors, key)
 
 
+def append_evaluation(rows: DataFrame, path: str, model: str, when: Column) -> None:
+    """Appends the rows of an evaluation summary with the model's name and the time, which is given, so a rerun is the same."""
+    rows.withColumn("model", F.lit(model)).withColumn("evaluated_at", when).write.mode("append").parquet(path)
+
+
 def supplement(wanted: DataFrame, held: DataFrame, key: str = "pmid") -> DataFrame:
     """What is wanted and not held yet."""
     return wanted.join(held.select(key).distinct(), key, "left_anti")

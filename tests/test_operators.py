@@ -228,10 +228,14 @@ def test_merge_subqueries(spark):
 
 def test_query_text(spark):
     f = lambda e: one(spark.range(1).select(e))
-    assert f(querytext.expand_abbreviations(F.lit("  high bp,  and Sql? "))) == "high blood pressure and structured query language"
-    assert f(querytext.synonyms_of(F.lit("Lookup"))) == ["retrieval", "lookup"] and f(querytext.synonyms_of(F.lit("zzz"))) == []
-    assert f(querytext.variants(F.lit("Search the document"))) == ["Search the document", "retrieval the document", "lookup the document"]
-    assert f(querytext.enhanced(F.lit("search the document text"))) == "search the document text (retrieval lookup record)"
+    own = (("search", ("retrieval", "lookup")), ("document", ("text", "record")), ("pain", ("ache", "soreness")))
+    assert f(querytext.expand_abbreviations(F.lit("  high bp,  and Sql? "), {"SQL": "structured query language", "BP": "blood pressure"})) == "high blood pressure and structured query language"
+    assert f(querytext.synonyms_of(F.lit("Lookup"), own)) == ["retrieval", "lookup"] and f(querytext.synonyms_of(F.lit("zzz"), own)) == []
+    assert f(querytext.variants(F.lit("Search the document"), 3, own)) == ["Search the document", "retrieval the document", "lookup the document"]
+    assert f(querytext.enhanced(F.lit("search the document text"), own, {})) == "search the document text (retrieval lookup record)"
+    assert f(querytext.expand_abbreviations(F.lit("T2DM and copd"))) == "type 2 diabetes mellitus and chronic obstructive pulmonary disease"
+    assert f(querytext.synonyms_of(F.lit("Migraine"))) == ["cephalalgia", "head pain", "migraine"]
+    assert f(querytext.enhanced(F.lit("fever in adults"))) == "fever in adults (pyrexia elevated temperature)"
     assert f(querytext.key_terms(F.lit("an odd question"))) == ["question"] and f(querytext.key_terms(F.lit("find pain"))) == ["pain"]
     df = spark.createDataFrame([(1, 0, 0, "A"), (1, 0, 1, "b"), (1, 1, 0, "a"), (1, 1, 1, "c")], "query_id int, list_no int, pos int, text string")
     assert [r.text for r in querytext.merge_variants(df, 2).orderBy("n").collect()] == ["A", "b"]
