@@ -41,6 +41,8 @@ GROWTH, LEAST_WINDOW, GROUP_ENTRIES, GROUP_QUERIES = 0.4, 96, 4096, 2048
 BANDS, LONGEST = 16, 2048
 #: Candidates beyond k that a window passes on: scores there are of components rounded to eight bits.
 SLACK = 12
+#: Queries whose entrances are looked up at once.
+ENTERED = 512
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -135,7 +137,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     queried = entries.join(asked.select("e").distinct(), "e", "left_semi").select("e", "length", "norm", "v")
     entered = _entrances(_bounded(queried, entries, bands, k, longest), bands, curves, seed)
-    listed = _listed(entries, curves, seed).unionByName(entered)
+    # Written once: range partitioning reads them twice, to sample and to sort.
+    listed = stored(_listed(entries, curves, seed).unionByName(entered), "curves")
     # Places on the sorted curves count candidates (kind 0) only.
     order = [F.col(c).asc() for c in ("curve", "length", "band", "face", "key", "e", "kind")]
     placed = running(listed, order, {"ahead": 1 - F.col("kind")}).drop("_place", "face", "key")
@@ -234,22 +237,23 @@ def _entrances(queried: DataFrame, bands: DataFrame, curves: int, seed: int) ->
     """Where every query enters the curves of each band that may hold one of its nearest: on the faces it points at most."""
     reach = F.col("least").isNull() | (F.col("norm") * F.col("ceiling") * (1 + 1e-9) >= F.col("least"))
     into = queried.join(F.broadcast(bands.select("length", "band", "ceiling", "probes")), "length").filter(reach)
-    into = into.groupBy("e", "length", "v").agg(F.collect_list(F.struct("band", "probes")).alias("into"))
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for length, f in frame.groupby("length"):
                 rotations, shifts = turns(int(length), curves, seed)
-                for x, e, into in zip(f.v, f.e, f.into, strict=True):
-                    y = np.stack([x @ r for r in rotations])
-                    d = y.shape[1]
-                    deep = max(b["probes"] for b in into)
-                    pick = np.argsort(-np.concatenate([y, -y], axis=1).ravel(), kind="stable")[:deep]
-                    curve, face = pick // (2 * d), pick % (2 * d)
-                    key = np.empty(len(pick), np.int64)
+                for at in range(0, len(f), ENTERED):
+                    part = f.iloc[at : at + ENTERED]
+                    x, probes = np.vstack(part.v.to_numpy()), part.probes.to_numpy()
+                    y = np.stack([x @ r for r in rotations], axis=1)
+                    d = y.shape[2]
+                    pick = np.argsort(-np.concatenate([y, -y], axis=2).reshape(len(x), -1), axis=1, kind="stable")[:, : probes.max()]
+                    row, slot = np.nonzero(np.arange(pick.shape[1]) < probes[:, None])
+                    curve, face = pick[row, slot] // (2 * d), pick[row, slot] % (2 * d)
+                    key = np.empty(len(row), np.int64)
                     for c in np.unique(curve):
-                        at = curve == c
-                        key[at] = on_face(np.repeat(y[[c]], at.sum(), axis=0), face[at], shifts[c])
-                    yield pd.concat([pd.DataFrame({"curve": curve[: b["probes"]], "length": length, "band": b["band"], "face": face[: b["probes"]], "key": key[: b["probes"]], "e": e, "kind": 1}) for b in into])
+                        on = curve == c
+                        key[on] = on_face(y[row[on], c], face[on], shifts[c])
+                    yield pd.DataFrame({"curve": curve, "length": length, "band": part.band.to_numpy()[row], "face": face, "key": key, "e": part.e.to_numpy()[row], "kind": 1})
 
-    return into.mapInPandas(keyed, LISTED)
+    return into.select("e", "length", "band", "probes", "v").mapInPandas(keyed, LISTED)

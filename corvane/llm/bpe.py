@@ -1,21 +1,25 @@
-"""Byte-level BPE encoding and decoding by merge replay.
-
-The corpus is read in blocks of bounded size where it lies. A block's texts are cut into
-words by the tokenizer's pattern; its distinct words are laid end to end as bytes, and an
-inverted index leads from each token that a pair of neighbours would make to the positions
-of such pairs. Merges are replayed in rank order over all words at once: a merge visits the
-positions the index lists for it and touches the pair's two neighbours only. The encoded
-words then spell out the block's texts.
-
-Words do not affect one another, so replaying block by block gives what one replay over the
-corpus would, with bounded memory and without moving any text. A task keeps the encodings of
-words that it has met, up to a bound.
+"""Byte-level BPE encoding and decoding by corpus-level merge replay.
+
+1. The distinct words of the corpus (the matches of the tokenizer's pattern) are counted, with
+   a map-side combine, over all texts.
+2. Merges are replayed over the distinct words, each of them once for the whole corpus: words
+   are laid end to end as bytes, and an inverted index leads from each token that a pair of
+   neighbours would make to the positions of such pairs. Merges apply in rank order over all
+   words of a partition at once: a merge visits the positions the index lists for it and
+   touches the pair's two neighbours only. Words do not affect one another, so partitions of
+   the words give what one index would.
+3. The encodings of the CORPUS_WORDS most frequent words are broadcast (a bounded table, tens
+   of MB) and spell out the texts where they lie; no text is shuffled. What is rarer still is
+   replayed in the same way where it lies: such words occur in few places each, and a table
+   of all of them would grow with the corpus.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,14 +27,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_as_struct, text_or_empty
 
-#: Bytes of text in a block, encoded words that a task keeps, and pairs of tokens whose rank it keeps.
+#: Words whose encodings every worker gets; only words met so often count.
+CORPUS_WORDS, LEAST_COUNT = 300_000, 3
+#: Words that a task counts before it passes them on, and words of one replay.
+COUNTED_WORDS, REPLAYED_WORDS = 400_000, 50_000
+#: Bytes of text in a block, rare words that a worker keeps, and pairs of tokens whose rank it keeps.
 BLOCK_BYTES = 500_000
-KEPT_WORDS = 240_000
+KEPT_WORDS = 120_000
 KEPT_PAIRS = 240_000
 
 
@@ -137,30 +146,82 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     return [kept[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+def corpus_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
+    """word, n: every distinct word of the corpus and how often it occurs."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        findall = regex.compile(pattern).findall
+        found: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+        for b in batches:
+            for text in b.column(0):
+                found.update(findall(text.as_py()))
+                if len(found) > COUNTED_WORDS:
+                    yield rows()
+                    found.clear()
+        yield rows()
+
+    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """word, ids of a table of distinct words, by replay over each partition's words."""
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(path)
+        for b in batches:
+            for at in range(0, b.num_rows, REPLAYED_WORDS):
+                part = b.column(0).slice(at, REPLAYED_WORDS)
+                yield pa.RecordBatch.from_arrays([part, pa.array(replay([w.encode() for w in part.to_pylist()], vocabulary), pa.binary())], names=["word", "ids"])
+            if len(vocabulary.made) > KEPT_PAIRS:
+                vocabulary.made.clear()
+
+    return words.select("word").mapInArrow(replayed, "word string, ids binary")
+
+
+def frequent_words(docs: DataFrame, path: str, pattern: str, text_col: str = "text", most: int = CORPUS_WORDS) -> Broadcast:
+    """The ``most`` most frequent words of the corpus with their ids, for all workers; ties go by the word. Words met under LEAST_COUNT times are left to where they lie."""
+    words = corpus_words(docs, pattern, text_col).filter(F.col("n") >= LEAST_COUNT)
+    top = words.orderBy(F.col("n").desc(), "word").limit(most).select("word").repartition("word")
+    table = encoded_words(top, path).toArrow().combine_chunks()
+    return docs.sparkSession.sparkContext.broadcast((table.column("word").combine_chunks(), table.column("ids").combine_chunks()))
+
+
 class Encoder:
-    """Encodes texts block by block. Words met before are kept, up to KEPT_WORDS: half of them young, half of them old and dropped next."""
+    """Encodes texts block by block by the corpus's frequent words. Of rarer words those met before are kept, up to KEPT_WORDS: half of them young, half of them old and dropped next."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, words: dict[str, bytes] | None = None):
         self.vocabulary = Vocabulary(path)
         self.pattern = regex.compile(pattern)
+        self.words = words or {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def block(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(t) for t in texts]
+        known, young = self.words, self.young
+        here: dict[str, bytes] = {}
         fresh = []
-        young = self.young
-        for w in {w for words in split for w in words}:
-            if w not in young:
-                ids = self.old.get(w)
+        for w in set().union(*split):
+            ids = known.get(w)
+            if ids is None:
+                ids = young.get(w)
                 if ids is None:
-                    fresh.append(w)
-                else:
+                    ids = self.old.get(w)
+                    if ids is None:
+                        fresh.append(w)
+                        continue
                     young[w] = ids
+            here[w] = ids
         if fresh:
-            young.update(zip(fresh, replay([w.encode() for w in fresh], self.vocabulary), strict=True))
-        out = [b"".join(map(young.__getitem__, words)) for words in split]
+            made = dict(zip(fresh, replay([w.encode() for w in fresh], self.vocabulary), strict=True))
+            young.update(made)
+            here.update(made)
+        out = [b"".join(map(here.__getitem__, words)) for words in split]
         if len(young) > KEPT_WORDS // 2:
             self.old, self.young = young, {}
         if len(self.vocabulary.made) > KEPT_PAIRS:
@@ -168,10 +229,15 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One for all tasks of a Python worker."""
-    return Encoder(path, pattern)
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str, pattern: str, words: Broadcast, corpus: str) -> Encoder:
+    """One for all tasks of a Python worker: that of the last corpus it was asked for."""
+    if corpus not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[corpus] = Encoder(path, pattern, dict(zip(*(c.to_pylist() for c in words.value), strict=True)))
+    return _ENCODERS[corpus]
 
 
 def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -197,13 +263,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
 
     With decoded, a third: what the ids decode to, as ``decode`` gives it, without passing
     the rows through a second Python worker. A null text counts as empty and has no ids.
-    Strings that name special tokens are ordinary text.
+    Strings that name special tokens are ordinary text. The texts are read twice: for the
+    corpus's words at once, and again by what uses the result.
     """
+    words, corpus = frequent_words(docs, path, pattern, text_col), uuid.uuid4().hex
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in blocks(b, 1):
-                own = encoder(path, pattern)
+                own = encoder(path, pattern, words, corpus)
                 ids = own.block(part.column(1).to_pylist())
                 more = [spell(ids, own.vocabulary.tokens)] if decoded else []
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *more], names=["_row", "ids", "decoded"][: 2 + decoded])

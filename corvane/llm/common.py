@@ -2,85 +2,22 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, freed, new_folder, released, running, shared_dir, stored
+
+__all__ = ["UPPER", "WORD", "ascii_lower", "cut", "freed", "new_folder", "partitions", "released", "rows_as_struct", "running", "shared_dir", "stored", "text_or_empty"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, by which words are told apart.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset in a local session (as in tests), one is made and set once a session;
-    on a cluster that is an error, since no folder of one machine would do.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
-    return named or sc._jsc.sc().getCheckpointDir().get().rsplit("/", 1)[0]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint, which outlives any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage is cut, and the planner knows the size."""
-    spark = df.sparkSession
-    folder = new_folder(spark, name)
-    df.write.parquet(folder)
-    out = spark.read.schema(df.schema).parquet(folder)
-    out._folder = folder
-    # What the rows were made from goes with the driver's next collection of garbage, and Spark removes its shuffle files.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def released(*tables: DataFrame) -> None:
-    """Deletes tables that ``stored`` wrote and nothing reads any more."""
-    for t in tables:
-        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._folder)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
-    """``df`` with _place (its number in an order, from 0) and the sums of expressions over the rows before, as columns of the given names.
-
-    Rows are range-partitioned and sorted; places and sums are taken within partitions and
-    set off by the partitions' totals, so that no window holds all rows.
-    """
-    sums = {"_place": F.lit(1)} | (sums or {})
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = stored(ranged.withColumns({f"{n}+": e.cast("bigint") for n, e in sums.items()}).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "running")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = lambda n, w: F.coalesce(F.sum(n).over(before(w)), F.lit(0))
-    parts = ranged.groupBy(F.col("_part").alias("_p")).agg(*[F.sum(f"{n}+").alias(n) for n in sums])
-    parts = parts.select("_p", *[upto(n, Window.orderBy("_p")).alias(f"{n}<") for n in sums])
-    inside = Window.partitionBy("_part").orderBy("_at")
-    within = ranged.select("*", *[upto(f"{n}+", inside).alias(f"{n}-") for n in sums])
-    return within.join(F.broadcast(parts), F.col("_part") == F.col("_p")).select(*df.columns, *[(F.col(f"{n}-") + F.col(f"{n}<")).alias(n) for n in sums])
-
-
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

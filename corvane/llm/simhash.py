@@ -1,15 +1,21 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprints are 64 bits. Two that differ in at most 2 bits differ in at most 1 bit of the
-upper half or in none of the lower half. So the table of fingerprints is indexed by each
-half; a lookup enumerates the Hamming ball of radius 1 around the upper half (33 keys) and
-of radius 0 around the lower half (1 key), fetches the table's matches and verifies the
-whole distance.
+upper half or in none of the lower half; two that differ in at most 3 differ in at most 1 bit
+of either half. So the table of fingerprints is indexed by each half; a lookup enumerates the
+Hamming balls of those radii around a fingerprint's halves (34 or 66 keys), fetches the
+table's matches and verifies the whole distance.
 
 Only distinct fingerprints are indexed; copies share theirs. A half that many fingerprints
-share would make its bucket quadratic, so fingerprints of such buckets are matched by balls
-of radius 1 around the whole 64 bits instead: two within 2 bits have a centre in common, and
-no centre has more than 65 fingerprints. Nothing is dropped either way.
+share would make its bucket quadratic. At 2 bits, fingerprints of such buckets are matched by
+balls of radius 1 around the whole 64 bits instead: two within 2 bits have a centre in common,
+and no centre has more than 65 fingerprints. At 3 bits such buckets are parted by the four
+bytes of the other half, one of which two within 3 bits have in common. Nothing is dropped.
+
+``classes`` links fingerprints alone. ``representatives`` takes them as candidates, with a
+fingerprint of single words, and links documents whose five-word shingles have a Jaccard
+similarity of 0.8 or more: near copies of that similarity differ in about 10 bits under a
+fingerprint of five-word shingles, which no enumeration reaches, but in few under one of words.
 
 Components come from randomised contraction: every round each node joins the neighbour of
 least random rank, edges are rewritten and made distinct, and expected rounds are
@@ -26,10 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, freed, released, stored, text_or_empty
 
 #: A half shared by more distinct fingerprints than this is matched by whole balls.
 BUCKET = 64
+#: Documents of one fingerprint that meet the same document.
+STAR = 1000
+#: Documents worked on at once.
+SLICE = 256
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -64,27 +74,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return base.mapInArrow(hashed, f"_id {base.schema['_id'].dataType.simpleString()}, _fp bigint")
 
 
-def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Pairs u < v that connect all fingerprints within 2 bits of one another.
+def links(prints: DataFrame, bucket: int = BUCKET, radius: int = 2) -> DataFrame:
+    """Pairs u < v that connect all fingerprints within ``radius`` (2 or 3) bits of one another.
 
-    prints: distinct fingerprints in column _fp. Outside crowded buckets every such pair is
-    returned; of one centre in a crowded bucket, each fingerprint is paired with the least
-    one (all of a centre are within 2 bits of each other), which connects the same ones.
+    prints: distinct fingerprints in column _fp. At 3 bits every such pair is returned. At 2,
+    every such pair outside crowded buckets; of one centre in a crowded bucket, each
+    fingerprint is paired with the least one (all of a centre are within 2 bits of each
+    other), which connects the same ones.
     """
+    if radius not in (2, 3):
+        raise ValueError("radius is 2 or 3")
     upper, lower = F.shiftrightunsigned("_fp", 32), F.col("_fp").bitwiseAND(0xFFFFFFFF)
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(32)])
-    table = prints.select("_fp", F.explode(F.array(F.struct(F.lit(0).alias("half"), upper.alias("key")), F.struct(F.lit(1).alias("half"), lower.alias("key")))).alias("k")).select("_fp", "k.half", "k.key")
+    half = lambda n, key: F.struct(F.lit(n).alias("half"), key.alias("key"))
+    around = lambda n, key: F.transform(flips, lambda f: half(n, key.bitwiseXOR(f)))
+    table = prints.select("_fp", F.explode(F.array(half(0, upper), half(1, lower))).alias("k")).select("_fp", "k.half", "k.key")
     crowded = cut(table.groupBy("half", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("half", "key"))
     thin = table.join(crowded, ["half", "key"], "left_anti")
-    ball = prints.select(F.col("_fp").alias("_q"), F.explode(F.array_append(F.transform(flips, lambda f: F.struct(F.lit(0).alias("half"), F.shiftrightunsigned("_fp", 32).bitwiseXOR(f).alias("key"))), F.struct(F.lit(1).alias("half"), lower.alias("key")))).alias("k")).select("_q", "k.half", "k.key")
-    verified = F.bit_count(F.col("_fp").bitwiseXOR(F.col("_q"))) <= 2
+    balls = F.array_append(around(0, upper), half(1, lower)) if radius == 2 else F.concat(around(0, upper), around(1, lower))
+    ball = prints.select(F.col("_fp").alias("_q"), F.explode(balls).alias("k")).select("_q", "k.half", "k.key")
+    verified = F.bit_count(F.col("_fp").bitwiseXOR(F.col("_q"))) <= radius
     found = thin.join(ball, (thin["half"] == ball["half"]) & (thin["key"] == ball["key"]) & (F.col("_q") < F.col("_fp")) & verified).select(F.col("_q").alias("u"), F.col("_fp").alias("v"))
-    # A crowded bucket's members, and whatever is within 1 bit of its key, meet at whole centres.
-    near = ball.join(crowded, ["half", "key"], "left_semi").select(F.col("_q").alias("_fp")).distinct()
-    centres = F.array(F.col("_fp"), *[F.col("_fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("bigint")) for i in range(64)])
-    stars = near.select("_fp", F.explode(centres).alias("centre"))
-    least = stars.groupBy("centre").agg(F.min("_fp").alias("u"), F.collect_list("_fp").alias("all")).filter(F.size("all") > 1)
-    crowd = least.select("u", F.explode("all").alias("v")).filter("u < v")
+    # Members of crowded buckets, and whatever is within the ball of their key.
+    near = ball.join(crowded, ["half", "key"], "left_semi")
+    if radius == 2:
+        near = near.select(F.col("_q").alias("_fp")).distinct()
+        centres = F.array(F.col("_fp"), *[F.col("_fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("bigint")) for i in range(64)])
+        stars = near.select("_fp", F.explode(centres).alias("centre"))
+        least = stars.groupBy("centre").agg(F.min("_fp").alias("u"), F.collect_list("_fp").alias("all")).filter(F.size("all") > 1)
+        crowd = least.select("u", F.explode("all").alias("v")).filter("u < v")
+    else:
+        bytes_of = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.alias("i"), F.call_function("shiftrightunsigned", F.when(F.col("half") == 0, F.col(c).bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned(c, 32)), i * 8).bitwiseAND(255).alias("byte"))))
+        held = table.join(crowded, ["half", "key"], "left_semi").select("_fp", "half", "key", bytes_of("_fp").alias("b")).select("_fp", "half", "key", "b.*")
+        asks = near.select("_q", "half", "key", bytes_of("_q").alias("b")).select("_q", "half", "key", "b.*")
+        crowd = held.join(asks, ["half", "key", "i", "byte"]).filter((F.col("_q") < F.col("_fp")) & verified).select(F.col("_q").alias("u"), F.col("_fp").alias("v"))
     return found.unionByName(crowd).distinct()
 
 
@@ -121,7 +144,91 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return each.join(known, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, with all their columns: one document of each group."""
-    keep = classes(docs, id_col, text_col, shingle).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """32-bit hashes of the word shingles of a text, sorted, each once; fewer words than a shingle are one, none are none."""
+    parts = text.encode().translate(_LOWER).split()
+    if not parts:
+        return np.zeros(0, np.uint32)
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(parts[i : i + words])) for i in range(max(1, len(parts) - words + 1))), np.uint32))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs a, b that connect the documents (doc) of each key: with the least of STAR or so, and those with the least of all."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = rows.join(counts, "key").withColumn("part", F.pmod("doc", F.ceil(F.col("n") / STAR)))
+    heads = dealt.groupBy("key", "part").agg(F.min("doc").alias("head"))
+    tops = heads.groupBy("key").agg(F.min("head").alias("top"))
+    own = dealt.join(heads, ["key", "part"]).select(F.col("head").alias("a"), F.col("doc").alias("b"))
+    return own.unionByName(heads.join(tops, "key").select(F.col("top").alias("a"), F.col("head").alias("b"))).filter("a <> b")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Of pairs a, b (of column doc of ``docs``: doc, text) those whose word shingles have a Jaccard similarity of ``least`` or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "s"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= least * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("named")).distinct()
+    held = stored(docs.join(named, F.col("doc") == F.col("named"), "left_semi").mapInArrow(sets, "doc bigint, s binary").dropDuplicates(["doc"]), "sets")
+    freed(docs.sparkSession)
+    one = lambda c, s: held.select(F.col("doc").alias(c), F.col("s").alias(s))
+    met = pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").select("a", "b", "sa", "sb")
+    out = stored(met.mapInArrow(compared, "a bigint, b bigint"), "similar")
+    released(held)
+    return out
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, radius: int = 3, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each group of near copies the document of smallest id.
+
+    Near copies have fingerprints (of ``shingle`` words) within ``radius`` bits and a Jaccard
+    similarity of ``least`` or more of their shingles of ``words`` words; groups are connected by
+    such pairs. Of documents with one fingerprint, each is compared with the least by a hash,
+    and with the least that shares the minimum of either of two hashes of its words' pairs;
+    of two fingerprints, the least documents are compared.
+    Null texts count as empty; empty texts are near copies of one another.
+    A null id stays only in a group without others. Rows of the same id and text are one
+    document: they stay or go together. An empty table gives no rows.
+    """
+    base = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    key = lambda i, t: F.xxhash64(F.coalesce(i.cast("string"), F.lit("\0")), t)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            pairs = [shingle_set(t, 2) for t in texts]
+            first = [int(s.min(initial=0xFFFFFFFF)) for s in pairs]
+            second = [int((s * np.uint32(0x9E3779B1)).min(initial=0xFFFFFFFF)) for s in pairs]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["doc", "id", "fp", "m1", "m2"])
+
+    kind = base.schema["_id"].dataType.simpleString()
+    rows = base.select(key(F.col("_id"), F.col("_text")).alias("doc"), "_id", "_text").mapInArrow(hashed, f"doc bigint, id {kind}, fp bigint, m1 bigint, m2 bigint")
+    each = stored(rows.dropDuplicates(["doc"]), "prints")
+    keyed = each.select("doc", F.explode(F.array(F.xxhash64("fp"), F.xxhash64("fp", F.lit(1), "m1"), F.xxhash64("fp", F.lit(2), "m2"))).alias("key"))
+    prints = cut(each.groupBy(F.col("fp").alias("_fp")).agg(F.min("doc").alias("doc")))
+    near = links(prints.select("_fp"), radius=radius)
+    head = lambda f, d: prints.select(F.col("_fp").alias(f), F.col("doc").alias(d))
+    across = near.join(head("u", "a"), "u").join(head("v", "b"), "v").select("a", "b")
+    pairs = stored(_stars(keyed).unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    freed(docs.sparkSession)
+    edges = similar_pairs(base.select(key(F.col("_id"), F.col("_text")).alias("doc"), F.col("_text").alias("text")), pairs, words, least)
+    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = each.select("doc", "id").join(roots, F.col("doc") == F.col("node"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("x")).select("root", F.col("x.doc").alias("stays"))
+    gone = stored(rooted.join(stays, "root").filter("doc <> stays").select(F.col("doc").alias("_gone")), "gone")
+    released(each, pairs, edges)
+    freed(docs.sparkSession)
+    return docs.join(gone, key(F.col(id_col), text_or_empty(text_col)) == F.col("_gone"), "left_anti")

@@ -76,6 +76,51 @@ def test_links_connect_everything_in_crowded_buckets(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_links_within_three_bits(spark):
+    rng = random.Random(8)
+    prints = {rng.getrandbits(64)}
+    while len(prints) < 300:
+        x = rng.choice(sorted(prints)) if rng.random() < 0.8 else rng.getrandbits(64)
+        for _ in range(rng.randint(0, 4)):
+            x ^= 1 << rng.randrange(64)
+        prints.add(x)
+    signed = {int(np.array(p, np.uint64).view(np.int64)): p for p in prints}
+    df = spark.createDataFrame([(s,) for s in signed], "_fp bigint")
+    want = {(a, b) for a in signed for b in signed if a < b and (signed[a] ^ signed[b]).bit_count() <= 3}
+    for bucket in (1, 1000):
+        assert {(r.u, r.v) for r in simhash.links(df, bucket, radius=3).collect()} == want
+
+
+def test_near_copies_go(spark):
+    # Words as texts have them: a few very common ones and many rare ones. Copies with words changed, at 0.8 to 1.
+    rng = random.Random(12)
+    common = ["".join(rng.choice("aeioulnrst") for _ in range(3)) for _ in range(40)]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    rows, copies = [], set()
+    for i in range(0, 600, 2):
+        words = [word() for _ in range(rng.randint(120, 500))]
+        rows.append((i, " ".join(words)))
+        if i % 4 == 0:
+            changed = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // rng.randint(55, 200))):
+                changed[at] = word()
+            a, b = (set(simhash.shingle_set(" ".join(w), 5).tolist()) for w in (words, changed))
+            rows.append((i + 1, " ".join(changed)))
+            if len(a & b) >= 0.8 * len(a | b):
+                copies.add(i + 1)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.representatives(df).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert len(copies) > 100 and gone <= copies
+    assert len(gone) >= 0.85 * len(copies)
+
+
+def test_many_copies_of_one_fingerprint(spark):
+    base = [f"w{i % 50}" for i in range(200)]
+    df = spark.createDataFrame([(i, " ".join([*base, f"end{i}"])) for i in range(300)], "doc_id bigint, text string")
+    assert [r.doc_id for r in simhash.representatives(df).collect()] == [0]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "u bigint, v bigint")
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
