@@ -39,8 +39,8 @@ CURVES, PROBES, DIMENSIONS, BITS, PROJECTED = 32, 64, 8, 7, 64
 GROWTH, LEAST_WINDOW, GROUP_ENTRIES, GROUP_QUERIES = 0.4, 96, 4096, 2048
 #: Bands of norms; vectors of largest norm that bound the scores.
 BANDS, LONGEST = 16, 2048
-#: Candidates beyond k that a window passes on: scores there are of components rounded to eight bits.
-SLACK = 12
+#: Scores in windows are of components rounded to eight bits. Every candidate stays that is within so many standard deviations of that rounding of a k-th best score.
+DEVIATIONS = 4
 #: Queries whose entrances are looked up at once.
 ENTERED = 512
 
@@ -106,9 +106,11 @@ def packed(x: np.ndarray) -> list[bytes]:
     return [np.float32(s).tobytes() + r.tobytes() for s, r in zip(scale, np.rint(x / scale[:, None]).astype(np.int8), strict=True)]
 
 
-def unpacked(values: pd.Series) -> np.ndarray:
+def unpacked(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and their scales."""
     raw = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    scale = np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * scale, scale[:, 0]
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, probes: int = PROBES, growth: float = GROWTH, least_window: int = LEAST_WINDOW, longest: int = LONGEST, seed: int = 5) -> DataFrame:
@@ -164,26 +166,29 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
         base, q = frame[frame.kind == 0].sort_values(["w", "e"]), frame[frame.kind == 1].sort_values("w")
-        if not len(base) or not len(q):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "e": pd.Series(dtype="int64"), "s": pd.Series(dtype="float32")})
-        x, y, at, e = unpacked(base.x), unpacked(q.x), base.w.to_numpy(), base.e.to_numpy()
-        out: list[tuple] = []
-        windows, first, count = np.unique(q.w.to_numpy(), return_index=True, return_counts=True)
-        for w, i, n in zip(windows.tolist(), first.tolist(), count.tolist(), strict=True):
-            a, b = np.searchsorted(at, [w - 1, w + 2])
-            if a == b:
-                continue
-            s = y[i : i + n] @ x[a:b].T
-            m = min(k + SLACK, b - a)
-            pick = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            out.append((np.repeat(q.e.to_numpy()[i : i + n], m), e[a:b][pick].ravel(), np.take_along_axis(s, pick, 1).ravel()))
-        return pd.DataFrame({c: np.concatenate(v) for c, v in zip("qes", zip(*out, strict=True), strict=True)} if out else {"q": [], "e": [], "s": []})
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))]
+        if len(base) and len(q):
+            (x, sx), (y, sy), at, e = unpacked(base.x), unpacked(q.x), base.w.to_numpy(), base.e.to_numpy()
+            nx, ny = (x * x).sum(1), (y * y).sum(1)
+            windows, first, count = np.unique(q.w.to_numpy(), return_index=True, return_counts=True)
+            for w, i, n in zip(windows.tolist(), first.tolist(), count.tolist(), strict=True):
+                a, b = np.searchsorted(at, [w - 1, w + 2])
+                if a == b:
+                    continue
+                s = y[i : i + n] @ x[a:b].T
+                margin = DEVIATIONS * np.sqrt((ny[i : i + n] * sx[a:b].max() ** 2 + nx[a:b].max() * sy[i : i + n] ** 2) / 12)
+                kth = np.partition(s, b - a - min(k + 1, b - a), axis=1)[:, b - a - min(k + 1, b - a)]
+                r, c = np.nonzero(s >= (kth - 2 * margin)[:, None])
+                out.append((q.e.to_numpy()[i : i + n][r], e[a:b][c], s[r, c], margin[r]))
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("q", "e", "s", "m"), zip(*out, strict=True), strict=True)})
 
     short = stored(entries.select("e", "v").mapInArrow(small, "e bigint, x binary"), "vectors")
-    found = both.join(short, "e").groupBy(*key, "part").applyInPandas(best, "q bigint, e bigint, s float")
-    merged = found.groupBy("q", "e").agg(F.max("s").alias("s")).filter("q <> e or s is not null")
+    found = both.join(short, "e").groupBy(*key, "part").applyInPandas(best, "q bigint, e bigint, s float, m float")
+    merged = found.groupBy("q", "e").agg(F.max("s").alias("s"), F.max("m").alias("m"))
     top = Window.partitionBy("q").orderBy(F.col("s").desc(), "e")
-    finalists = merged.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + SLACK)
+    every = Window.partitionBy("q")
+    ranked = merged.withColumn("n", F.row_number().over(top)).withColumn("kth", F.min(F.when(F.col("n") <= k + 1, F.col("s"))).over(every)).withColumn("m", F.max("m").over(every))
+    finalists = ranked.filter(F.col("s") >= F.col("kth") - 2 * F.col("m"))
     scored = finalists.join(entries.select("e", F.col("v").alias("ve")), "e").join(entries.select(F.col("e").alias("q"), F.col("v").alias("vq")), "q").select("q", "e", dot(F.col("vq"), F.col("ve")).alias("score"))
     order_of = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
     listed = scored.join(members, "e").withColumn("n", F.row_number().over(order_of)).filter(F.col("n") <= k + 1).select("q", "id", "score")
