@@ -226,6 +226,34 @@ def test_merge_subqueries(spark):
     assert [(r.doc_id, r.score) for r in rerank.merge_subqueries(df, 1).orderBy("merged_rank").collect()] == [(6, 0.5), (5, 0.2)]
 
 
+def test_cells_of_the_query_find_nine_in_ten(spark):
+    from corvane.plans.corpus import knn_cells
+
+    sf = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = e.filter("vec_id % 20 = 0")
+    exact = vectors.knn_exact(asked, e, 10).select("query_id", "doc_id")
+    found = knn_cells(spark, sf).join(asked.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi").select("query_id", "doc_id")
+    assert exact.intersect(found).count() >= 0.9 * exact.count()
+
+
+def test_ensemble_weighs_by_query_and_list(spark):
+    q = spark.createDataFrame([(1, "fever in old people"), (2, "an odd word or two here")], "query_id int, query string")
+    hits = lambda asked, docs: asked.select("query_id", F.posexplode(F.array(*map(F.lit, docs))).alias("p", "doc_id")).select("query_id", "doc_id", (F.col("p") + 1).alias("rank"), F.lit(1.0).alias("score"))
+    seen = []
+
+    def vector(asked, k):
+        seen.append((k, sorted((r.query_id, r.query) for r in asked.collect())))
+        return hits(asked, ["a", "b"])
+
+    got = rerank.ensemble(q, vector, lambda asked, k: hits(asked, ["b", "c"]), 5)
+    assert seen == [(15, [(1, "fever in old people"), (2, "an odd word or two here")]), (10, [(1, "pyrexia in old people")])]
+    score = {(r.query_id, r.doc_id): r.rrf_score for r in got.collect()}
+    # Three lists weigh 0.40, 0.35 and 0.25; two weigh 0.55 and 0.45.
+    assert score[1, "a"] == round(0.75 / 61, 6) and score[1, "b"] == round(0.75 / 62 + 0.25 / 61, 6)
+    assert score[2, "a"] == round(0.55 / 61, 6) and score[2, "b"] == round(0.55 / 62 + 0.45 / 61, 6)
+
+
 def test_query_text(spark):
     f = lambda e: one(spark.range(1).select(e))
     own = (("search", ("retrieval", "lookup")), ("document", ("text", "record")), ("pain", ("ache", "soreness")))
