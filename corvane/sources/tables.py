@@ -40,11 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage is cut, and the planner knows the size."""
+    """Writes a table to the shared folder and reads it again: lineage is cut, and the planner knows the size. Shuffle files of the write go with it."""
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(folder)
     out._folder = folder
     return out
