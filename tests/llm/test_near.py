@@ -202,6 +202,50 @@ def test_near_equal_passages(spark):
     assert all(80 <= s.start + 5 and s.end <= 185 for r in got.values() for s in r.spans)
 
 
+def test_passages_of_documents_against_all_pairs(spark):
+    # Every passage of 50 equal words is found, and hardly any that is similar by 0.8 is missed; nothing else is told.
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 500")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    s = {i: (substring_dedup.shingles([t])[0] >> np.uint64(32)).astype(np.uint32) for i, t in rows.items()}
+    ids = sorted(i for i in s if len(s[i]) >= substring_dedup.LENGTH)
+    sets = {i: set(s[i].tolist()) for i in ids}
+    near, equal = set(), {}
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if len(sets[a] & sets[b]) >= 30 and (substring_dedup.similar(s[a], s[b]) or substring_dedup.similar(s[b], s[a])):
+                near |= {a, b}
+    windows = {}
+    for i in ids:
+        for k in range(len(s[i]) - substring_dedup.LENGTH + 1):
+            windows.setdefault(s[i][k : k + substring_dedup.LENGTH].tobytes(), []).append((i, k))
+    for places in windows.values():
+        if len({i for i, _ in places}) > 1:
+            for i, k in places:
+                equal.setdefault(i, set()).update(range(k, k + 50))
+    got = {r.doc_id: {w for x in r.spans for w in range(x.start, x.end)} for r in substring_dedup.repeated_passages(docs).collect()}
+    assert set(got) <= near and len(equal) > 40
+    assert len(got) >= 0.95 * len(near)
+    assert set(equal) <= set(got)
+    assert sum(len(w & got[i]) for i, w in equal.items()) >= 0.98 * sum(map(len, equal.values()))
+
+
+def test_near_equal_passages_in_a_large_group(spark):
+    # One passage in 300 documents, each with a word of 60 changed at a place of its own.
+    rng = random.Random(13)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passage = some(120)
+    docs = []
+    for i in range(300):
+        own = list(passage)
+        for at in (rng.randrange(60), 60 + rng.randrange(60)):
+            own[at] = some(1)[0]
+        docs.append((i, " ".join(some(rng.randint(20, 80)) + own + some(rng.randint(20, 80)))))
+    docs += [(i, " ".join(some(200))) for i in range(300, 600)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id for r in substring_dedup.repeated_passages(df).collect()}
+    assert got <= set(range(300)) and len(got) >= 0.95 * 300
+
+
 def test_passages_odd_rows(odd, nothing):
     got = substring_dedup.repeated_passages(odd)
     assert got.count() == 0
