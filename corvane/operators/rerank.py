@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 from . import querytext
 from .fusion import adaptive_weights, fuse, top
 from .lexical import overlap
@@ -51,8 +52,9 @@ def reflect(hits: DataFrame, query: str = "query", text: str = "text", score: st
 
 def retry_weak(queries: DataFrame, hits: DataFrame, retrieve: Callable[[DataFrame], DataFrame], rewrite: Callable[[Column], Column]) -> DataFrame:
     """Hits of the queries that did well, and of the others retrieved again with a rewritten text. A query without hits is weak."""
-    texts = hits.join(queries.select("query_id", "query"), "query_id")
-    verdict = reflect(texts)
+    # Both are read several times.
+    hits = cut(hits)
+    verdict = cut(reflect(hits.join(queries.select("query_id", "query"), "query_id")))
     weak = queries.join(verdict.filter("relevant"), "query_id", "left_anti").withColumn("query", rewrite(F.col("query")))
     good = hits.join(verdict.filter("relevant").select("query_id"), "query_id", "left_semi")
     again = retrieve(weak)
