@@ -158,8 +158,8 @@ def draw(sources: DataFrame, planned: DataFrame, block_words: int = BLOCK_WORDS,
     block_words, shards = sized(words, block_words, shard_blocks)
     paths = sources.select("_place", F.col("source").alias("_s")).join(group_counts(sources, block_words), "_place")
     passes = F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("whole")), lambda p: F.struct(p.alias("pass"), F.when(p < F.col("whole"), F.col("size")).otherwise(F.col("extra")).alias("words"))), lambda x: x["words"] > 0)
-    turns = planned.withColumn("_p", F.explode(passes))
-    turns = turns.withColumn("_line", F.col("_p.pass") * F.col("source_size") + F.col("start"))
+    turns = planned.select("*", F.explode(passes).alias("_p")).select(*planned.columns, F.col("_p.pass").alias("_pass"), F.col("_p.words").alias("_words"))
+    turns = turns.withColumn("_line", F.col("_pass") * F.col("source_size") + F.col("start"))
     turns = turns.join(paths, F.col("_source").eqNullSafe(F.col("_s")))
 
     @F.pandas_udf("array<struct<shard:int,first_word:bigint,end_word:bigint>>")
@@ -181,8 +181,8 @@ def draw(sources: DataFrame, planned: DataFrame, block_words: int = BLOCK_WORDS,
         for columns in batches:
             yield pd.Series([one(*x) for x in zip(*columns, strict=True)])
 
-    split = turns.withColumn("_piece", F.explode(pieces("_place", "path", "_line", "_p.words")))
-    return split.select(*planned.columns, F.col("_p.pass").alias("pass"), F.col("_piece.shard").alias("shard"), F.col("_piece.first_word").alias("first_word"), F.col("_piece.end_word").alias("end_word"), F.xxhash64(F.lit(seed), "_order", F.col("_p.pass"), F.col("_piece.shard")).alias("position"))
+    split = turns.withColumn("_piece", F.explode(pieces("_place", "path", "_line", "_words")))
+    return split.select(*planned.columns, F.col("_pass").alias("pass"), F.col("_piece.shard").alias("shard"), F.col("_piece.first_word").alias("first_word"), F.col("_piece.end_word").alias("end_word"), F.xxhash64(F.lit(seed), "_order", F.col("_pass"), F.col("_piece.shard")).alias("position"))
 
 
 def taken(planned: DataFrame, mix: DataFrame) -> DataFrame:

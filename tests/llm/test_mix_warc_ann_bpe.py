@@ -74,29 +74,28 @@ def test_group_counts(spark):
 
 def test_shards_hold_their_quotas(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    sources, planned = mixing.plan(docs)
-    sources = sources.collect()
-    order = sorted(sources, key=lambda r: r._place)
+    order = sorted(mixing.plan(docs)[0].collect(), key=lambda r: r._place)
     blocks = [-(-round(r.target) // 64) for r in order]
     paths = paths_of(blocks)
     kw = {"block_words": 64, "shard_blocks": 50}
 
     def words(seed):
-        mix = mixing.draw(mixing.plan(docs, seed=seed)[0], mixing.plan(docs, seed=seed)[1], **kw, seed=seed)
+        mix = mixing.draw(*mixing.plan(docs, seed=seed), **kw, seed=seed)
         return {(r._source, r.shard): r.w for r in mix.groupBy("_source", "shard").agg(F.sum(F.col("end_word") - F.col("first_word")).alias("w")).collect()}
 
     total = sum(round(r.target) for r in order)
     size, shards = mixing.sized(total, **kw)
     assert size == 64 and shards > 3
-    for seed in (11, 12):
-        got, tree = words(seed), mixing.Tree(shards, seed)
+    held = {seed: words(seed) for seed in (11, 12)}
+    for seed, got in held.items():
+        tree = mixing.Tree(shards, seed)
         want = {}
         for i, r in enumerate(order):
             for b in range(blocks[i]):
                 at = (r.source, tree.shard_of(b, i, paths[i]))
                 want[at] = want.get(at, 0) + min(64, round(r.target) - 64 * b)
         assert got == want
-    assert words(11) != words(12)
+    assert held[11] != held[12]
 
 
 def test_pieces_put_together_are_the_text(spark):
