@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, mixing, quality, secret_scan, simhash, substring_dedup, toxicity, warc
+from . import ann, bpe, exact_dedup, mixing, quality, secret_scan, simhash, substring_dedup, toxicity, variants, warc
 from .common import new_folder
 
 #: A document is toxic from this score on.
@@ -81,12 +81,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep=["doc_id"], decoded=True))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.of_documents(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select(F.col("_row.doc_id").alias("doc_id"), (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_quality, op4_toxicity, op5_simhash, op6_warc, op7_substring_dedup, op8_mixing, op9_ann, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_quality, op4_toxicity, op5_simhash, op6_warc, op7_substring_dedup, op8_mixing, op9_ann, op10_bpe, op11_spelling)}
 
 
 def _rules_sql() -> str:
@@ -97,6 +101,12 @@ def _rules_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _crc32_sql(codes: str) -> str:
+    """CRC-32 of a list of bytes, a bit at a time."""
+    step = "list_reduce(list_prepend(xor(c, b), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
+
+
 ORACLE = {
     "op1_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
@@ -136,6 +146,21 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FR
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]), lambda a, b: a + b) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 20""",
+    "op11_spelling": f"""
+WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+e AS (SELECT id, run, count(*) AS n FROM d GROUP BY ALL),
+h AS (SELECT run, n, {_crc32_sql("list_transform(flatten(list_transform(string_split(id || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END)), lambda b: b::BIGINT)")} AS h FROM e),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run) + 2)::INT) ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+cut AS (SELECT DISTINCT word, n, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS short FROM p),
+masked AS (SELECT word, n, i, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest FROM p),
+near AS (SELECT c.word AS a, c.n AS an, w.word AS b, w.n AS bn FROM cut c JOIN w ON w.word = c.short UNION ALL SELECT w.word, w.n, c.word, c.n FROM cut c JOIN w ON w.word = c.short
+  UNION ALL SELECT x.word, x.n, y.word, y.n FROM masked x JOIN masked y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY bn DESC, b) AS b, max(bn) AS bn FROM near GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * w.n THEN b END AS form, CASE WHEN bn >= 2 * w.n THEN bn END AS form_n FROM w LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+l AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN l USING (word)""",
 }
 
 
