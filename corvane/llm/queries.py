@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, mixing, quality, secret_scan, simhash, substring_dedup, toxicity, variants, warc
+from . import ann, bpe, exact_dedup, mixing, quality, repair, secret_scan, simhash, substring_dedup, toxicity, variants, warc
 from .common import new_folder
 
 #: A document is toxic from this score on.
@@ -85,12 +85,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.of_documents(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.of_damaged(table(spark, sf_dir, "conversations"))
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select(F.col("_row.doc_id").alias("doc_id"), (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_quality, op4_toxicity, op5_simhash, op6_warc, op7_substring_dedup, op8_mixing, op9_ann, op10_bpe, op11_spelling)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_quality, op4_toxicity, op5_simhash, op6_warc, op7_substring_dedup, op8_mixing, op9_ann, op10_bpe, op11_spelling, op13_conversation_repair)}
 
 
 def _rules_sql() -> str:
@@ -161,6 +165,27 @@ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * w.n
 r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
 l AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN l USING (word)""",
+    "op13_conversation_repair": f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32_sql("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: unicode(ch)::BIGINT)")} % 20 AS k FROM conversations),
+c AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || ':' || text), copy) AS i, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM c),
+f AS (SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+s AS (SELECT *, NOT blank AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut FROM f),
+n AS (SELECT conv_id, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+      coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, max(i) AS last FROM s GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 3, 3, 'I'), (3, 2, 3, 'I')) AS t(p, q, c, e)),
+op AS (SELECT * FROM (VALUES (0, 0, 4, 'D', ''), (1, 1, 4, 'D', ''), (2, 2, 4, 'D', ''), (3, 3, 4, 'D', ''), (0, 2, 3, 'R', ''), (1, 2, 3, 'R', ''), (3, 2, 3, 'R', ''), (2, 3, 3, 'R', ''), (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'), (2, 3, 0, 'K', 'a')) AS t(p, q, c, e, need)),
+r AS (SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'c': 0, 'a': ''}} AS best FROM n
+  UNION ALL SELECT r.conv_id, s.i, op.q, min({{'c': r.best.c + ins.c + op.c + CASE WHEN s.cut AND op.e <> 'D' THEN 3 ELSE 0 END, 'a': r.best.a || ins.e || op.e}})
+  FROM r JOIN s ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.i = r.i + 1 JOIN ins ON ins.p = r.state JOIN op ON op.p = ins.q AND (op.e = 'D' OR (NOT s.blank AND NOT s.again AND (op.e = 'R' OR op.need = s.initial))) GROUP BY r.conv_id, s.i, op.q),
+e AS (SELECT n.conv_id, min({{'c': r.best.c + CASE r.state WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'a': r.best.a || CASE r.state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}}) AS best FROM n JOIN r ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = n.last GROUP BY n.conv_id),
+l AS (SELECT conv_id, unnest(string_split(best.a, '')) AS e, unnest(range(1, length(best.a) + 1)) AS j FROM e),
+m AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS k FROM l),
+x AS (SELECT m.conv_id, m.j, m.e, m.k, s.role, CASE WHEN m.e = 'I' THEN '' ELSE s.text END AS text, max(CASE WHEN m.k = 1 AND m.e = 'K' AND s.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv_id) AS head FROM m LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.i = m.i),
+d AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (k - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS h FROM x WHERE e <> 'D' GROUP BY conv_id)
+SELECT a.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, coalesce(e.best.c, 0)::BIGINT AS cost, coalesce(e.best.a, '') AS audit, coalesce(d.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }
 
 
