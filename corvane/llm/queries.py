@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, mixing, quality, repair, secret_scan, simhash, substring_dedup, toxicity, variants, warc
+from . import ann, bpe, exact_dedup, mixing, pii, quality, repair, secret_scan, simhash, substring_dedup, toxicity, variants, warc
 from .common import new_folder
 
 #: A document is toxic from this score on.
@@ -85,6 +85,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.of_documents(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.of_documents(table(spark, sf_dir, "documents"))
+    name = F.array(*[F.lit(k) for k in pii.KINDS])
+    said = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["start"], x["end"])), ",")
+    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.of_damaged(table(spark, sf_dir, "conversations"))
 
@@ -94,7 +102,7 @@ def digests(decoded: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_quality, op4_toxicity, op5_simhash, op6_warc, op7_substring_dedup, op8_mixing, op9_ann, op10_bpe, op11_spelling, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_quality, op4_toxicity, op5_simhash, op6_warc, op7_substring_dedup, op8_mixing, op9_ann, op10_bpe, op11_spelling, op12_pii, op13_conversation_repair)}
 
 
 def _rules_sql() -> str:
