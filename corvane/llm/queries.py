@@ -89,8 +89,8 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.of_documents(table(spark, sf_dir, "documents"))
     name = F.array(*[F.lit(k) for k in pii.KINDS])
     said = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    n = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("bigint").alias(f"n_{pii.KINDS[i]}")
+    return found.select("doc_id", *[n(i) for i in range(len(pii.KINDS))], F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
