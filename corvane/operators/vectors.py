@@ -1,4 +1,4 @@
-"""Embedding, exact and partitioned nearest neighbours, reuse of stored vectors."""
+"""Embedding, exact nearest neighbours, reuse of stored vectors."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,31 +117,3 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_
         scored = scored.filter("q <> c")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "c"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("query_id"), F.col("c").alias("doc_id"), "rank", "score")
-
-
-def cells(corpus: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, seed: int = 3):
-    """A k-means model of ``n`` cells, fitted on the ``sample`` vectors of smallest hash."""
-    some = corpus.orderBy(F.xxhash64(id_col, F.lit(seed))).limit(sample).select(array_to_vector(vector_col).alias("features"))
-    return KMeans(k=n, seed=seed, maxIter=10).fit(some)
-
-
-def knn_cells(queries: DataFrame, corpus: DataFrame, model, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, doc_id, rank, score as knn_exact, from the ``probes`` cells nearest to each query only."""
-    centres = np.array(model.clusterCenters(), float)
-
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Cells in order of distance; ties go to the smaller number.
-        for f in frames:
-            x = np.vstack(f["v"].to_numpy()).astype(float) if len(f) else np.zeros((0, centres.shape[1]))
-            far = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
-            yield f.assign(near=list(np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        base = df.select(F.col(id_col).alias(name), F.col(vector_col).alias("v")).filter("v is not null")
-        return base.mapInPandas(nearest, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in base.schema.fields) + ", near array<int>")
-
-    placed = dealt(corpus, "c").select("c", F.col("v").alias("vc"), F.col("near")[0].alias("cell"))
-    asked = dealt(queries, "q").select("q", F.col("v").alias("vq"), F.explode("near").alias("cell"))
-    scored = asked.join(placed, "cell").filter("q <> c").select("q", "c", F.round(cosine(F.col("vq"), F.col("vc")), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "c"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("query_id"), F.col("c").alias("doc_id"), "rank", "score")

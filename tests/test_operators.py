@@ -226,17 +226,6 @@ def test_merge_subqueries(spark):
     assert [(r.doc_id, r.score) for r in rerank.merge_subqueries(df, 1).orderBy("merged_rank").collect()] == [(6, 0.5), (5, 0.2)]
 
 
-def test_cells_of_the_query_find_nine_in_ten(spark):
-    from corvane.plans.corpus import knn_cells
-
-    sf = "/root/testdata/sf0.1"
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    asked = e.filter("vec_id % 20 = 0")
-    exact = vectors.knn_exact(asked, e, 10).select("query_id", "doc_id")
-    found = knn_cells(spark, sf).join(asked.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi").select("query_id", "doc_id")
-    assert exact.intersect(found).count() >= 0.9 * exact.count()
-
-
 def test_ensemble_weighs_by_query_and_list(spark):
     q = spark.createDataFrame([(1, "fever in old people"), (2, "an odd word or two here")], "query_id int, query string")
     hits = lambda asked, docs: asked.select("query_id", F.posexplode(F.array(*map(F.lit, docs))).alias("p", "doc_id")).select("query_id", "doc_id", (F.col("p") + 1).alias("rank"), F.lit(1.0).alias("score"))
@@ -333,9 +322,6 @@ def test_vectors(spark):
         got.setdefault(r.query_id, {})[r.rank] = r.doc_id
     for i in range(60):
         assert [got[i][k] for k in range(1, 6)] == sorted(range(60), key=lambda j: (-s[i][j], j))[:5]
-    held = df.filter("embedding is not null")
-    cells = vectors.knn_cells(held, held, vectors.cells(held, 6), 5, 6)
-    assert {(r.query_id, r.rank): r.doc_id for r in cells.collect()} == {(i, k): d for i, m in got.items() for k, d in m.items()}
     texts = spark.createDataFrame([(1, "a b b"), (2, " "), (3, None)], "k int, t string")
     v = {r.k: r.embedding for r in vectors.hashed_terms(texts, "k", "t").collect()}
     assert abs(sum(a * a for a in v[1]) - 1) < 1e-12 and v[2] is None and v[3] is None
