@@ -27,17 +27,20 @@ COPIES, PART, BOOK, SHARE = 3, 4, 256, 8
 CELLS, SAMPLE = 4096, 40_000
 #: Candidates of a query that are reranked, for each one asked for, and at least.
 WIDER, LEAST = 10, 100
+#: Rows of a file of a cell, about.
+FILE = 500_000
 #: Rows that a scanning task holds before it drops what is out of a query's best.
 HELD = 500_000
 
 
 @dataclass
 class InvertedFile:
-    """folder: the cells, as Parquet partitions; centres: cells x dimensions; books: parts x BOOK x PART."""
+    """folder: the cells, as Parquet partitions; centres: cells x dimensions; books: parts x BOOK x PART; files: of each cell, when it is written."""
 
     folder: str
     centres: np.ndarray
     books: np.ndarray
+    files: np.ndarray | None = None
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -84,11 +87,14 @@ def fit(corpus: DataFrame, folder: str, cells: int | None = None, id_col: str =
     some = stored(base.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample), "sample")
 
     def coarse(f: pd.DataFrame) -> pd.DataFrame:
-        c = k_means(_unit(_matrix(f.sort_values("id")["v"])), k, True)
-        return pd.DataFrame({"i": np.arange(len(c), dtype=np.int32), "v": list(c)})
+        x = _unit(_matrix(f.sort_values("id")["v"]))
+        c = k_means(x, k, True)
+        share = np.bincount((x @ c.T).argmax(1), minlength=k) / len(x)
+        return pd.DataFrame({"i": np.arange(len(c), dtype=np.int32), "v": list(c), "share": share})
 
-    made = sorted(some.groupBy().applyInPandas(coarse, "i int, v array<float>").collect()) if n else []
+    made = sorted(some.groupBy().applyInPandas(coarse, "i int, v array<float>, share double").collect()) if n else []
     centres = np.array([r["v"] for r in made], np.float32)
+    files = np.ceil(np.maximum(1, np.array([r["share"] for r in made]) * n * COPIES / FILE)).astype(np.int64)
 
     def left_over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -103,7 +109,7 @@ def fit(corpus: DataFrame, folder: str, cells: int | None = None, id_col: str =
 
     rows = sorted(some.mapInPandas(left_over, "j int, id bigint, v array<float>").groupBy("j").applyInPandas(book, "j int, i int, v array<float>").collect()) if n else []
     released(some)
-    return InvertedFile(folder, centres, np.array([r["v"] for r in rows], np.float32).reshape(-1, BOOK, PART))
+    return InvertedFile(folder, centres, np.array([r["v"] for r in rows], np.float32).reshape(-1, BOOK, PART), files)
 
 
 def build(corpus: DataFrame, folder: str | None = None, cells: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> InvertedFile:
@@ -126,8 +132,10 @@ def build(corpus: DataFrame, folder: str | None = None, cells: int | None = None
                 yield pd.DataFrame({"cell": near[:, c], "home": near[:, 0], "id": f["id"], "code": [r.tobytes() for r in code], "v": list(raw) if c == 0 else None})
 
     rows = _usable(corpus, id_col, vector_col, "id").mapInPandas(filed, "cell int, home int, id bigint, code binary, v array<float>")
-    rows.hint("rebalance", "cell").write.partitionBy("cell").parquet(index.folder)
     spark = corpus.sparkSession
+    files = F.array(*[F.lit(int(x)) for x in index.files]) if len(centres) else F.array(F.lit(1))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", F.pmod(F.xxhash64("id"), F.get(files, F.col("cell"))))
+    dealt.write.partitionBy("cell").parquet(index.folder)
     spark.createDataFrame([(-1, 0, i, c.tolist()) for i, c in enumerate(centres)] + [(0, j, i, c.tolist()) for j, b in enumerate(books) for i, c in enumerate(b)], "kind int, j int, i int, v array<float>").coalesce(1).write.parquet(f"{index.folder}-model")
     return index
 
@@ -184,7 +192,7 @@ def search(queries: DataFrame, index: InvertedFile, k: int, probes: int | None =
     centres, books = index.centres, index.books
     if not len(centres):
         return spark.createDataFrame([], "query_id bigint, doc_id bigint, rank int, score double")
-    asked = stored(_asked(order, index, probes), "asked")
+    asked = stored(_asked(order, index, probes).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell"), "asked")
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -196,12 +204,13 @@ def search(queries: DataFrame, index: InvertedFile, k: int, probes: int | None =
             for cell, ids, homes, codes, qi, qm in zip(f["cell"], f["ids"], f["homes"], f["codes"], f["qi"], f["qm"], strict=True):
                 ids, homes = np.frombuffer(ids, np.int64), np.frombuffer(homes, np.int32)
                 code = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
+                # What the codes stand for: the centre and the books' entries.
+                near = centres[cell] + books[np.arange(code.shape[1]), code].reshape(len(ids), -1)[:, : centres.shape[1]]
                 q = np.frombuffer(qi, np.int64)
                 x = np.frombuffer(qm, np.float32).reshape(len(q), -1)
                 for at in range(0, len(q), 256):
                     part = x[at : at + 256]
-                    table = np.einsum("qjd,jkd->qjk", _parts(part), books)
-                    s = (part @ centres[cell])[:, None] + sum(table[:, j][:, code[:, j]] for j in range(code.shape[1]))
+                    s = part @ near.T
                     if s.shape[1] > most:
                         i = np.repeat(np.arange(len(part)), most)
                         e = np.argpartition(-s, most - 1, axis=1)[:, :most].ravel()
