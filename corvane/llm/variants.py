@@ -91,7 +91,8 @@ def _dealt(words: DataFrame, depth: int, crowd: int) -> DataFrame:
     sizes = words.select(F.concat_ws(",", *counts).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     heavy = sizes.filter(F.col("n") > crowd).select(F.col("path").alias("_path"), F.ceil(F.col("n") / crowd).cast("int").alias("_parts"))
     rows = base.select("word", "n", F.explode(F.filter(F.array(member, *asks), lambda x: x.isNotNull())).alias("x")).select(F.encode("word", "ISO-8859-1").alias("word"), "n", "x.state", "x.path")
-    rows = rows.join(heavy, F.col("path") == F.col("_path"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    # At most one row for ``crowd`` words, so the keys that need parts are broadcast.
+    rows = rows.join(F.broadcast(heavy), F.col("path") == F.col("_path"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     own = F.pmod(F.xxhash64("word", "state"), F.col("_parts")).cast("int")
     all_ = F.sequence(F.lit(0), F.col("_parts") - 1)
     # A member is in one row of parts and all columns; who asks is in one column and all rows.
