@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, stores, streams, talk
+from . import corpus, kept, stores, streams, talk
 from .tables import QUERIES, SQL
 
 FLAGSHIP = "bm25_topk"
-MODULES = (corpus, talk, streams, stores)
+MODULES = (corpus, talk, streams, stores, kept)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
