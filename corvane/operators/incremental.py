@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
 from ..sources.tables import cut
-from .vectors import knn_exact
+from .anglejoin import nearest_within
 
 # Least similarity for reuse, seconds an answer lives, answers a store holds.
 SIMILAR, TTL, CAPACITY = 0.92, 7200, 10_000
@@ -97,7 +97,7 @@ def remove(store: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def semantic_reuse(questions: DataFrame, stored: DataFrame, now: Column, similar: float = SIMILAR, ttl: int = TTL, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Every question with the nearest stored one (cached_id, similarity) that is alive and near enough, else nulls. stored has ts."""
     alive = stored.filter(F.col("ts") + F.make_interval(secs=F.lit(ttl)) > now)
-    near = knn_exact(questions, alive, 1, key, vector, exclude_self=False).filter(F.col("score") >= similar)
+    near, _ = nearest_within(questions, alive, similar, key, vector)
     return questions.select(F.col(key).alias("query_id")).join(near.select("query_id", F.col("doc_id").alias("cached_id"), F.col("score").alias("similarity")), "query_id", "left")
 
 
