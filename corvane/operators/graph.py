@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import terms as term_tables
+
 # What a term's class is told by; relation patterns in order of priority.
 CLASSES = (("DISEASE", ("disease", "syndrome", "disorder", "cancer", "oma")), ("DRUG", ("drug", "therapy", "treatment", "agent")))
 WORD = r"([\p{L}\p{N}_]+)"
@@ -99,18 +101,32 @@ def neighbours(start: DataFrame, edge_rows: DataFrame, node_rows: DataFrame, hop
     """start (start id) -> start, id, name, type, distance over 1 to ``hops`` edges, no edge used twice on a path; nearest first.
 
     An entity may be reached at several distances. With limit, so many rows per start.
+
+    Up to two hops a frontier is its distinct pairs of start and node: two edges of a path are
+    the same one only if it comes back to its start, which is no result. A start that has
+    ``limit`` near ones goes no farther, so its frontier is cut there, and of a hub the last
+    hop takes its first neighbours by id. Farther paths carry the edges they have used.
     """
+    plain = hops <= 2
     both = _both(edge_rows)
+    if plain:
+        both = both.select("a", "b").distinct()
     last = both
     if limit is not None:
         # The last hop needs no more of a hub than its first neighbours by id: so many that the start and the edges used cannot use them up.
         by_id = Window.partitionBy("a").orderBy("b")
         last = both.withColumn("_r", F.dense_rank().over(by_id)).filter(F.col("_r") <= limit + hops).drop("_r")
-    paths = start.select(F.col("start"), F.col("start").alias("at"), F.array().cast("array<struct<source:string,relation:string,target:string>>").alias("used"))
+    paths = start.select(F.col("start"), F.col("start").alias("at"))
+    if not plain:
+        paths = paths.withColumn("used", F.array().cast("array<struct<source:string,relation:string,target:string>>"))
     out = None
     for d in range(1, hops + 1):
         step = last if d == hops else both
-        paths = paths.join(step, paths["at"] == step["a"]).filter(~F.array_contains("used", F.col("edge"))).select("start", F.col("b").alias("at"), F.array_append("used", F.col("edge")).alias("used"))
+        met = paths.join(step, paths["at"] == step["a"])
+        paths = met.select("start", F.col("b").alias("at")).distinct() if plain else met.filter(~F.array_contains("used", F.col("edge"))).select("start", F.col("b").alias("at"), F.array_append("used", F.col("edge")).alias("used"))
+        if plain and limit is not None and d < hops:
+            # More than ``limit`` (and the start itself) are no longer looked at beyond.
+            paths = paths.withColumn("_r", F.row_number().over(Window.partitionBy("start").orderBy("at"))).filter(F.col("_r") <= limit + 1).drop("_r")
         reached = paths.select("start", F.col("at").alias("id"), F.lit(d).alias("distance")).distinct()
         out = reached if out is None else out.unionByName(reached)
         if limit is not None and d < hops:
@@ -127,11 +143,10 @@ def neighbours(start: DataFrame, edge_rows: DataFrame, node_rows: DataFrame, hop
 def treatments(names: DataFrame, edge_rows: DataFrame, node_rows: DataFrame, limit: int = 20) -> DataFrame:
     """names (name) -> name, id, other: TREATS neighbours in either direction of nodes whose name holds the given one."""
     both = _both(edge_rows.filter("relation = 'TREATS'")).select("a", "b").distinct()
-    # A node meets the names it holds by an equality on the parts of its own name, not by trying every name on every node.
-    low = F.lower("name")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(F.sequence(F.lit(1), F.length(low) - i + 1), lambda n: F.substring(low, i, n))))
-    held = node_rows.filter(F.length("name") > 0).select("id", F.explode(F.array_distinct(parts)).alias("_part"))
-    matched = names.select("name").distinct().join(held, F.lower("name") == F.col("_part")).select("name", "id")
+    # Nodes that hold a name are found through the runs of letters of their names' words.
+    asked = names.select("name").distinct()
+    matched = term_tables.matches(node_rows.select("id", F.col("name").alias("_text")), asked, "id", "_text", "name")
+    matched = matched.join(asked, F.lower("name") == F.col("needle")).select("name", "id")
     found = matched.join(both, matched["id"] == both["a"]).select("name", F.col("b").alias("id")).distinct().join(node_rows.select("id", F.col("name").alias("other")), "id")
     w = Window.partitionBy("name").orderBy("id")
     return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).select("name", "id", "other")
