@@ -254,11 +254,10 @@ def stream_observed(spark: SparkSession, sf: str) -> DataFrame:
 
     out = io.new_folder(spark, "observed")
     text = F.coalesce("text", F.lit(""))
-    run = stages.write(stages.counted(_files(spark, sf, "documents"), "counters", F.length(text) < 100, F.octet_length(text)), f"{out}/data", f"{out}/offsets")
-    run.awaitTermination()
-    # One small row a batch.
-    rows = [p.observedMetrics["counters"] for p in run.recentProgress if "counters" in p.observedMetrics]
-    return spark.createDataFrame([(r["consumed"], r["failed"], r["bytes"]) for r in rows], "consumed bigint, failed bigint, bytes bigint").agg(*[F.sum(c).alias(c) for c in ("consumed", "failed", "bytes")])
+    stream = stages.counted(_files(spark, sf, "documents"), "counters", F.length(text) < 100, F.octet_length(text))
+    with stages.counter_log(spark, f"{out}/counters", "counters"):
+        stages.write(stream, f"{out}/data", f"{out}/offsets").awaitTermination()
+    return stages.read_counters(spark, f"{out}/counters").agg(*[F.sum(c).alias(c) for c in ("consumed", "failed", "bytes")])
 
 
 @query(f"WITH {BM25} SELECT b.item_id AS query_id, b.item_id % 3 = 0 AS from_store, CASE WHEN b.item_id % 3 = 0 THEN 0 ELSE coalesce(h.hits, 0) END AS hits FROM benchmark b LEFT JOIN (SELECT query_id, count(*) AS hits FROM bm WHERE rank <= 5 GROUP BY query_id) h ON h.query_id = b.item_id")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.chunk import explode_chunks, sliding
 from ..sources.tables import MESSAGE
@@ -61,3 +64,85 @@ def counted(df: DataFrame, name: str, failed, size) -> DataFrame:
 def windowed_counts(events: DataFrame, ts: str, by: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counters by event time, with a watermark."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+class CounterLog(StreamingQueryListener):
+    """Writes what a stream's batches report under a name (see ``counted``): a file a batch, named by query and batch, so that one reported again replaces itself."""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str):
+        self.spark, self.folder, self.name = spark, folder, name
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if self.name not in p.observedMetrics:
+            return
+        row = {"query": str(p.id), "batch": p.batchId, **p.observedMetrics[self.name].asDict()}
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p.id}-{p.batchId}.json")
+        out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
+
+
+@contextlib.contextmanager
+def counter_log(spark: SparkSession, folder: str, name: str) -> Iterator[None]:
+    """While it is open, counters of all batches go to the folder; it closes once those of ended batches are written."""
+    log = CounterLog(spark, folder, name)
+    spark.streams.addListener(log)
+    try:
+        yield
+    finally:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        spark.streams.removeListener(log)
+
+
+def read_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """query, batch, consumed, failed, bytes of every batch in a log."""
+    return spark.read.schema("query string, batch bigint, consumed bigint, failed bigint, bytes bigint").json(folder)
+
+
+def upserted_batches(embed: Callable[[DataFrame], DataFrame], store: str, key: str = "chunk_id", order: str = "seq") -> Callable[[DataFrame, int], None]:
+    """Stage 2 with versions: of each key of a batch the row of greatest ``order`` is encoded and written under the batch's number, so that a repeated batch replaces itself. Read by ``latest``."""
+
+    def work(batch: DataFrame, number: int) -> None:
+        columns = [c for c in batch.columns if c not in (key, order)]
+        one = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(order, *columns)).alias("_r")).select(key, "_r.*")
+        embed(one).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return work
+
+
+def _bases(spark: SparkSession, store: str) -> tuple[int, str | None]:
+    """The last batch that is compacted, and where."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}-bases")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return -1, None
+    row = spark.read.schema("upto bigint, path string").json(f"{store}-bases").orderBy(F.col("upto").desc()).first()
+    return row["upto"], row["path"]
+
+
+def latest(spark: SparkSession, store: str, key: str = "chunk_id", order: str = "seq") -> DataFrame:
+    """Each key's row of greatest ``order`` (of equals that of the last batch), from the last compacted table and the batches after it."""
+    upto, base = _bases(spark, store)
+    rows = spark.read.parquet(store).filter(F.col("batch") > upto)
+    if base is not None:
+        rows = rows.unionByName(spark.read.parquet(base).withColumn("batch", F.lit(-1)))
+    w = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col("batch").desc())
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "batch")
+
+
+def compact(spark: SparkSession, store: str, key: str = "chunk_id", order: str = "seq") -> None:
+    """Writes ``latest`` as one table that later reads begin with; the table is named once it is whole."""
+    upto = spark.read.parquet(store).agg(F.max("batch")).first()[0]
+    path = f"{store}-base-{upto}"
+    latest(spark, store, key, order).write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(upto, path)], "upto bigint, path string").coalesce(1).write.mode("append").json(f"{store}-bases")
