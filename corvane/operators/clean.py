@@ -99,30 +99,56 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def first_of_two_keys(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
     """Rows that no earlier kept row equals in ``key`` or in the hash of ``text`` (``order`` is unique).
 
-    A row dropped for one key does not use up the other, so this is a fixed point: each
-    round keeps the rows that come first among the undecided in both, drops those that
-    conflict with kept ones, and goes on with the rest. An empty text has no hash.
+    A row dropped for one key does not use up the other, so this is a fixed point. Each
+    round keeps the rows that come first among the undecided in both, and drops those that
+    conflict with kept ones. A row with a single earlier rival is kept where that one is not:
+    such rows form chains, which one round decides as a whole by pointer doubling, in as many
+    steps as the logarithm of the longest. Rounds that are left follow rows with several
+    earlier rivals, one of which waits for another. An empty text has no hash; null keys are equal.
     """
     hashed = df.select(F.col(order).alias("_o"), F.col(key).alias("_k"), F.when(F.coalesce(F.col(text), F.lit("")) != "", content_hash(F.col(text))).alias("_h"))
     return df.join(_first_of_both(hashed), F.col(order) == F.col("_keep"), "left_semi")
 
 
+def _first_two(left: DataFrame, by: str, first: str, second: str) -> DataFrame:
+    """``left`` with the first and second place among the rows of the same ``by``; null where ``by`` is null or there is none."""
+    least = left.groupBy(F.col(by).alias("_x")).agg(F.min("_o").alias(first))
+    met = left.join(least, F.col(by) == F.col("_x"), "left").drop("_x")
+    next_ = met.filter(F.col("_o") > F.col(first)).groupBy(F.col(by).alias("_x")).agg(F.min("_o").alias(second))
+    return met.join(next_, F.col(by) == F.col("_x"), "left").drop("_x")
+
+
 def _first_of_both(hashed: DataFrame) -> DataFrame:
     """_keep: the places (_o) of the rows (_o, _k, _h) that stay."""
-    left = cut(hashed)
+    # A null key counts as a key of its own, a null hash as none.
+    left = cut(hashed.withColumn("_k", F.coalesce(F.concat(F.lit("="), F.col("_k").cast("string")), F.lit("null"))))
     kept = left.filter("false").select(F.col("_o").alias("_keep"))
     while not left.isEmpty():
-        by_key, by_hash = Window.partitionBy("_k"), Window.partitionBy(F.coalesce("_h", F.concat(F.lit("#"), F.col("_o").cast("string"))))
-        ranked = cut(left.withColumn("_a", F.min("_o").over(by_key)).withColumn("_b", F.min("_o").over(by_hash)))
-        now = ranked.filter((F.col("_o") == F.col("_a")) & (F.col("_o") == F.col("_b")))
+        ranked = cut(_first_two(_first_two(left, "_k", "_a", "_a2"), "_h", "_b", "_b2"))
+        first_k, first_h = F.col("_o") == F.col("_a"), F.coalesce(F.col("_o") == F.col("_b"), F.lit(True))
+        one_k, one_h = F.col("_o") == F.col("_a2"), F.coalesce(F.col("_o") == F.col("_b2"), F.lit(False))
+        sole = F.when(one_k & (first_h | (one_h & (F.col("_a") == F.col("_b")))), F.col("_a")).when(first_k & one_h, F.col("_b"))
+        firsts = ranked.filter(first_k & first_h).select("_o")
+        now = cut(firsts.unionByName(_along_chains(ranked.select("_o", sole.alias("_to")).filter("_to is not null"), firsts)))
         kept = kept.unionByName(now.select(F.col("_o").alias("_keep")))
-        # Rows that are first in neither: those that a kept row conflicts with go.
-        open_ = ranked.filter((F.col("_o") != F.col("_a")) | (F.col("_o") != F.col("_b"))).select("_o", "_k", "_h")
-        rest = open_.join(now.select(F.col("_k").alias("_x")), F.col("_k").eqNullSafe(F.col("_x")), "left_anti")
-        left = cut(rest.join(now.select(F.col("_h").alias("_x")).filter("_x is not null"), F.col("_h") == F.col("_x"), "left_anti"))
+        taken = left.join(now, "_o", "left_semi")
+        rest = left.join(taken.select(F.col("_k").alias("_x")), F.col("_k") == F.col("_x"), "left_anti")
+        left = cut(rest.join(taken.select(F.col("_h").alias("_x")).filter("_x is not null"), F.col("_h") == F.col("_x"), "left_anti"))
     return kept
 
 
+def _along_chains(pointers: DataFrame, firsts: DataFrame) -> DataFrame:
+    """_o of the rows that stay among those that point (_o, _to) to their single earlier rival, where the chain begins with one of ``firsts``."""
+    chains = cut(pointers.withColumn("_odd", F.lit(True)))
+    while True:
+        ahead = chains.select(F.col("_o").alias("_p"), F.col("_to").alias("_far"), F.col("_odd").alias("_flip"))
+        met = cut(chains.join(ahead, F.col("_to") == F.col("_p"), "left"))
+        if met.filter("_p is not null").isEmpty():
+            break
+        chains = met.select("_o", F.coalesce("_far", "_to").alias("_to"), F.when(F.col("_p").isNull(), F.col("_odd")).otherwise(F.col("_odd") != F.col("_flip")).alias("_odd"))
+    return chains.filter(~F.col("_odd")).join(firsts.select(F.col("_o").alias("_p")), F.col("_to") == F.col("_p"), "left_semi").select("_o")
+
+
 def outlier_bounds(df: DataFrame, columns: list[str], k: float = 2.5) -> DataFrame:
     """metric, q1, q3, lower, upper: order statistics n div 4 and 3n div 4 (from 0), without interpolation.
 

@@ -68,6 +68,21 @@ def test_two_key_dedup_equals_the_loop(spark):
     assert clean.first_of_two_keys(df.filter("false"), "pmid", "abstract", "o").count() == 0
 
 
+def test_long_chains_of_conflicts_go_in_few_rounds(spark, monkeypatch):
+    n, cuts = 20_000, []
+    real = clean.cut
+    monkeypatch.setattr(clean, "cut", lambda df: cuts.append(1) or real(df))
+    rng = random.Random(4)
+    # Every row conflicts with the one before it, in turn by key and by text; some break off or meet two.
+    rows = [(i, f"p{(i + 1) // 2}", f"h{i // 2}") for i in range(n)]
+    for i in rng.sample(range(n), 5):
+        rows[i] = (i, rows[i][1], rng.choice(["", rows[i // 2][2]]))
+    rows[100] = (100, None, "")
+    df = spark.createDataFrame(rows, "o int, pmid string, abstract string")
+    assert sorted(r.o for r in clean.first_of_two_keys(df, "pmid", "abstract", "o").collect()) == loop_dedup(rows)
+    assert len(cuts) < 150
+
+
 def test_bounds_take_places_without_interpolation(spark):
     for values in ([1, 2, 3, 4], [5], list(range(1, 9)) + [100]):
         s = sorted(values)
