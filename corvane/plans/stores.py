@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import paragraphs, truncated
 from ..operators import chunk, evaluate, incremental, rerank, vectors
 from ..sources import tables as io
-from ..sources import xml
+from ..sources import json_elements, xml
 from ..streaming import stages
 from .corpus import BM25, OVERLAP, ROWS, SLIDING, STRIP, SUMMARY, TOKENS, A, _chunks, _measures, bm25_hits, knn_hits, label_judgments
 from .tables import articles, query, questions, table
@@ -50,6 +50,14 @@ def json_array(spark: SparkSession, sf: str) -> DataFrame:
     return _short(by_line).intersect(_short(whole))
 
 
+@query(f"WITH {A} {SHORT}")
+def json_array_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same arrays, each read by as many tasks as it has blocks."""
+    out = io.new_folder(spark, "json-array")
+    _arrays(_articles(spark, sf), out)
+    return _short(json_elements.read_array(spark, out, io.ARTICLE))
+
+
 @query(f"WITH {A} SELECT pmid, md5(abstract) AS abstract, topic FROM a WHERE topic IS NOT NULL")
 def topic_files(spark: SparkSession, sf: str) -> DataFrame:
     """Articles of even ids have no topic of their own and take their file's."""
