@@ -286,27 +286,6 @@ def multi_query_merge(spark: SparkSession, sf: str) -> DataFrame:
     return rerank.merge_subqueries(hits, 5).select("root_id", "doc_id", "score", "merged_rank")
 
 
-@query(None)
-def retrieve_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole path: hashed-term vectors and BM25 lists, fusion by names, rerank; weak questions once more with enhanced text."""
-    from ..operators.querytext import enhanced
-
-    docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    index = lexical.build(docs)
-    store = vectors.hashed_terms(docs, "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
-
-    def by_vector(q: DataFrame, k: int) -> DataFrame:
-        asked = vectors.hashed_terms(q, "query_id", "query").withColumnRenamed("query_id", "vec_id")
-        return vectors.knn_exact(asked, store, k, exclude_self=False)
-
-    def run(q: DataFrame) -> DataFrame:
-        return rerank.retrieve(q, by_vector, lambda x, k: lexical.bm25(index, x, k), docs, 5)
-
-    asked = questions(spark, sf)
-    hits = run(asked)
-    return rerank.retry_weak(asked, hits.join(docs.select("doc_id", "text"), "doc_id"), lambda q: run(q).join(docs.select("doc_id", "text"), "doc_id"), enhanced).select("query_id", "doc_id", "rank", "score", "attempt")
-
-
 # Vectors.
 UNIT = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
 DOT = "list_reduce(list_transform(list_zip({0}, {1}), lambda x: x[1] * x[2]), lambda s, t: s + t)"

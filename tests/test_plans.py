@@ -35,7 +35,7 @@ def test_top_k_is_cut_before_the_shuffle(spark, data):
 
 def test_every_query_has_sql_or_a_reason():
     missing = set(register.queries()) - set(register.oracle_sql())
-    assert missing == {"knn_cells", "retrieve_hybrid"}
+    assert missing == {"knn_cells"}
 
 
 def test_entry(spark):
