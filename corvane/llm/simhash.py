@@ -12,10 +12,11 @@ balls of radius 1 around the whole 64 bits instead: two within 2 bits have a cen
 and no centre has more than 65 fingerprints. At 3 bits such buckets are parted by the four
 bytes of the other half, one of which two within 3 bits have in common. Nothing is dropped.
 
-``classes`` links fingerprints alone. ``representatives`` takes them as candidates, with a
-fingerprint of single words, and links documents whose five-word shingles have a Jaccard
-similarity of 0.8 or more: near copies of that similarity differ in about 10 bits under a
-fingerprint of five-word shingles, which no enumeration reaches, but in few under one of words.
+``classes`` links fingerprints alone. ``representatives`` links documents whose five-word
+shingles have a Jaccard similarity of 0.8 or more. Their candidates are fingerprints of single
+words within 2 bits, and, since a fifth of such pairs or more lie beyond any radius that can be
+enumerated, documents that share one of BANDS pairs of min-hashes: at 0.8 all but one pair in
+3,000 do.
 
 Components come from randomised contraction: every round each node joins the neighbour of
 least random rank, edges are rewritten and made distinct, and expected rounds are
@@ -36,8 +37,10 @@ from .common import cut, freed, released, stored, text_or_empty
 
 #: A half shared by more distinct fingerprints than this is matched by whole balls.
 BUCKET = 64
-#: Documents of one fingerprint that meet the same document.
+#: Documents of one key that meet the same document.
 STAR = 1000
+#: Pairs of min-hashes of the sketch that are keys of their own; also each with the next, for keys that unlike documents share.
+BANDS = 8
 #: Documents worked on at once.
 SLICE = 256
 #: Min-hashes of a document's shingles that travel with it, and how many two documents must have in common to be compared in full: at similarity 0.8 fewer than 7 of 16 agree once in 4,000 pairs.
@@ -171,22 +174,35 @@ def shingle_sketch(text: str, words: int) -> np.ndarray:
 
 
 def _promising(pairs: DataFrame, each: DataFrame) -> DataFrame:
-    """Of pairs a, b those whose sketches have SHARED min-hashes in common."""
+    """Of pairs a, b those whose sketches have SHARED min-hashes in common, with their number (n)."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SKETCH) for i in (2, 3))
-            ok = pa.array((x == y).sum(1) >= SHARED)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+            n = (x == y).sum(1).astype(np.int32)
+            ok = pa.array(n >= SHARED)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(n).filter(ok)], names=["a", "b", "n"])
 
     of = lambda c, s: each.select(F.col("doc").alias(c), F.col("sketch").alias(s))
-    return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(kept, "a bigint, b bigint")
+    return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(kept, "a bigint, b bigint, n int")
+
+
+def _keys(each: DataFrame) -> DataFrame:
+    """doc, key: the fingerprint, and each band of the sketch alone and with the next; a text without words has the first only."""
+    band = lambda i: F.substring("sketch", 4 * (i % BANDS) + 1, 4)
+    single = [F.xxhash64(F.lit(i), band(i)) for i in range(BANDS)]
+    double = [F.xxhash64(F.lit(i), band(i), band(i + 1)) for i in range(BANDS)]
+    own = F.array(F.xxhash64("fp"))
+    wordless = F.col("sketch") == F.lit(bytes(2 * SKETCH))
+    return each.select("doc", F.explode(F.when(wordless, own).otherwise(F.array_distinct(F.concat(own, F.array(*single, *double))))).alias("key"))
 
 
 def _stars(rows: DataFrame) -> DataFrame:
     """Pairs a, b that connect the documents (doc) of each key: with the least of STAR or so, and those with the least of all."""
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = rows.join(counts, "key").withColumn("part", F.pmod("doc", F.ceil(F.col("n") / STAR)))
+    # Powers of two: the parts of keys of different sizes lie within one another, so that their least documents are mostly the same.
+    parts = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / STAR))).cast("bigint"))
+    dealt = rows.join(counts, "key").withColumn("part", F.pmod("doc", parts))
     heads = dealt.groupBy("key", "part").agg(F.min("doc").alias("head"))
     tops = heads.groupBy("key").agg(F.min("head").alias("top"))
     own = dealt.join(heads, ["key", "part"]).select(F.col("head").alias("a"), F.col("doc").alias("b"))
@@ -211,25 +227,26 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -
                 ok.append(common >= least * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("named")).distinct()
+    # Written first, so that the planner knows whether it is small.
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("named")).distinct(), "named")
     held = stored(docs.join(named, F.col("doc") == F.col("named"), "left_semi").mapInArrow(sets, "doc bigint, s binary").dropDuplicates(["doc"]), "sets")
     freed(docs.sparkSession)
     one = lambda c, s: held.select(F.col("doc").alias(c), F.col("s").alias(s))
     met = pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").select("a", "b", "sa", "sb")
     out = stored(met.mapInArrow(compared, "a bigint, b bigint"), "similar")
-    released(held)
+    released(held, named)
     return out
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, radius: int = 3, words: int = 5, least: float = 0.8) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, radius: int = 2, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group of near copies the document of smallest id.
 
-    Near copies have fingerprints (of ``shingle`` words) within ``radius`` bits and a Jaccard
-    similarity of ``least`` or more of their shingles of ``words`` words; groups are connected by
-    such pairs. Of documents with one fingerprint, each is compared with the least by a hash,
-    and with the least that shares either of two min-hashes of its shingles; of two
-    fingerprints, the least documents are compared. Pairs are compared in full where their
-    sketches of SKETCH min-hashes share SHARED or more.
+    Near copies have a Jaccard similarity of ``least`` or more of their shingles of ``words``
+    words; groups are connected by such pairs. Candidates have fingerprints (of ``shingle``
+    words) within ``radius`` bits, or share a band of the sketch: of each key, every document
+    meets the least by a hash, or the least of STAR or so. Pairs whose sketches of SKETCH
+    min-hashes share SHARED or more are compared in full: first every document with the most
+    alike, then the others that this has not joined yet.
     Null texts count as empty; empty texts are near copies of one another.
     A null id stays only in a group without others. Rows of the same id and text are one
     document: they stay or go together. An empty table gives no rows.
@@ -241,26 +258,31 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             texts = b.column(2).to_pylist()
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            sketch = [shingle_sketch(t, words) for t in texts]
-            first, second = (pa.array([int(x[i]) for x in sketch], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), first, second, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc", "id", "fp", "m1", "m2", "sketch"])
+            sketch = pa.array([shingle_sketch(t, words).tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), sketch], names=["doc", "id", "fp", "sketch"])
 
     kind = base.schema["_id"].dataType.simpleString()
-    rows = base.select(key(F.col("_id"), F.col("_text")).alias("doc"), "_id", "_text").mapInArrow(hashed, f"doc bigint, id {kind}, fp bigint, m1 bigint, m2 bigint, sketch binary")
+    rows = base.select(key(F.col("_id"), F.col("_text")).alias("doc"), "_id", "_text").mapInArrow(hashed, f"doc bigint, id {kind}, fp bigint, sketch binary")
     each = stored(rows.dropDuplicates(["doc"]), "prints")
-    keyed = each.select("doc", F.explode(F.array(F.xxhash64("fp"), F.xxhash64("fp", F.lit(1), "m1"), F.xxhash64("fp", F.lit(2), "m2"))).alias("key"))
     prints = cut(each.groupBy(F.col("fp").alias("_fp")).agg(F.min("doc").alias("doc")))
     near = links(prints.select("_fp"), radius=radius)
     head = lambda f, d: prints.select(F.col("_fp").alias(f), F.col("doc").alias(d))
     across = near.join(head("u", "a"), "u").join(head("v", "b"), "v").select("a", "b")
-    met = _stars(keyed).unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = _stars(_keys(each)).unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(_promising(met, each), "pairs")
     freed(docs.sparkSession)
-    edges = similar_pairs(base.select(key(F.col("_id"), F.col("_text")).alias("doc"), F.col("_text").alias("text")), pairs, words, least)
-    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    texts = base.select(key(F.col("_id"), F.col("_text")).alias("doc"), F.col("_text").alias("text"))
+    chosen = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "chosen")
+    edges = similar_pairs(texts, chosen, words, least)
+    linked = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    root = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = pairs.join(chosen, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = stored(apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
+    more = similar_pairs(texts, rest, words, least)
+    roots = components(edges.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     rooted = each.select("doc", "id").join(roots, F.col("doc") == F.col("node"))
     stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("x")).select("root", F.col("x.doc").alias("stays"))
     gone = stored(rooted.join(stays, "root").filter("doc <> stays").select(F.col("doc").alias("_gone")), "gone")
-    released(each, pairs, edges)
+    released(each, pairs, chosen, edges, rest, more)
     freed(docs.sparkSession)
     return docs.join(gone, key(F.col(id_col), text_or_empty(text_col)) == F.col("_gone"), "left_anti")

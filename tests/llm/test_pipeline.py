@@ -14,7 +14,6 @@ from corvane.llm.queries import RANKS
 
 def one_of_each(texts):
     """The smallest id of each group of near copies, by comparing all pairs."""
-    prints = {i: simhash.fingerprint(t, 1) for i, t in texts.items()}
     sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in texts.items()}
     root = {i: i for i in texts}
 
@@ -26,7 +25,7 @@ def one_of_each(texts):
     ids = sorted(texts)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return [i for i in ids if find(i) == i]
