@@ -12,6 +12,10 @@ balls of radius 1 around the whole 64 bits instead: two within 2 bits have a cen
 and no centre has more than 65 fingerprints. At 3 bits such buckets are parted by the four
 bytes of the other half, one of which two within 3 bits have in common. Nothing is dropped.
 
+Fingerprints of single words lie closer together than those of shingles, and more of their
+halves are crowded the more documents there are. ``ball_links`` therefore gives all of them
+the balls of radius 1 around the whole 64 bits: 65 rows a fingerprint, whatever its halves.
+
 ``classes`` links fingerprints alone. ``representatives`` links documents whose five-word
 shingles have a Jaccard similarity of 0.8 or more. Their candidates are fingerprints of single
 words within 2 bits, and, since a fifth of such pairs or more lie beyond any radius that can be
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, freed, released, stored, text_or_empty
@@ -80,6 +84,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return base.mapInArrow(hashed, f"_id {base.schema['_id'].dataType.simpleString()}, _fp bigint")
 
 
+def _centres() -> Column:
+    """_fp and the 64 fingerprints at 1 bit from it."""
+    return F.array(F.col("_fp"), *[F.col("_fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("bigint")) for i in range(64)])
+
+
 def links(prints: DataFrame, bucket: int = BUCKET, radius: int = 2) -> DataFrame:
     """Pairs u < v that connect all fingerprints within ``radius`` (2 or 3) bits of one another.
 
@@ -105,8 +114,7 @@ def links(prints: DataFrame, bucket: int = BUCKET, radius: int = 2) -> DataFrame
     near = ball.join(crowded, ["half", "key"], "left_semi")
     if radius == 2:
         near = near.select(F.col("_q").alias("_fp")).distinct()
-        centres = F.array(F.col("_fp"), *[F.col("_fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("bigint")) for i in range(64)])
-        stars = near.select("_fp", F.explode(centres).alias("centre"))
+        stars = near.select("_fp", F.explode(_centres()).alias("centre"))
         least = stars.groupBy("centre").agg(F.min("_fp").alias("u"), F.collect_list("_fp").alias("all")).filter(F.size("all") > 1)
         crowd = least.select("u", F.explode("all").alias("v")).filter("u < v")
     else:
@@ -117,6 +125,17 @@ def links(prints: DataFrame, bucket: int = BUCKET, radius: int = 2) -> DataFrame
     return found.unionByName(crowd).distinct()
 
 
+def ball_links(prints: DataFrame) -> DataFrame:
+    """All pairs u < v of fingerprints within 2 bits of one another: they have a centre within 1 bit of both in common, and no centre has more than 65.
+
+    prints: distinct fingerprints in column _fp.
+    """
+    stars = prints.select("_fp", F.explode(_centres()).alias("centre"))
+    balls = stars.groupBy("centre").agg(F.array_sort(F.collect_list("_fp")).alias("all")).filter(F.size("all") > 1)
+    met = balls.select(F.posexplode("all").alias("i", "u"), "all").select("u", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("v"))
+    return met.distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (u, v longs): nodes have the same root if and only if a path joins them."""
     both = cut(edges.filter("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct())
@@ -265,7 +284,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = base.select(key(F.col("_id"), F.col("_text")).alias("doc"), "_id", "_text").mapInArrow(hashed, f"doc bigint, id {kind}, fp bigint, sketch binary")
     each = stored(rows.dropDuplicates(["doc"]), "prints")
     prints = cut(each.groupBy(F.col("fp").alias("_fp")).agg(F.min("doc").alias("doc")))
-    near = links(prints.select("_fp"), radius=radius)
+    near = ball_links(prints.select("_fp")) if radius == 2 else links(prints.select("_fp"), radius=radius)
     head = lambda f, d: prints.select(F.col("_fp").alias(f), F.col("doc").alias(d))
     across = near.join(head("u", "a"), "u").join(head("v", "b"), "v").select("a", "b")
     met = _stars(_keys(each)).unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

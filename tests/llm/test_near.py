@@ -145,6 +145,17 @@ def test_many_copies_of_one_fingerprint(spark):
     assert [r.doc_id for r in simhash.representatives(df).collect()] == [0]
 
 
+def test_all_pairs_of_balls(spark):
+    # Every pair within 2 bits, also where many fingerprints share a half.
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    prints = {b ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32, 64)) for b in base for _ in range(150)} | set(base) | {rng.getrandbits(64) for _ in range(50)} | {0, 1 << 63, (1 << 64) - 1}
+    signed = sorted(p - (1 << 64 if p >> 63 else 0) for p in prints)
+    want = {(u, v) for n, v in enumerate(signed) for u in signed[:n] if ((u ^ v) & (1 << 64) - 1).bit_count() <= 2}
+    got = [(r.u, r.v) for r in simhash.ball_links(spark.createDataFrame([(p,) for p in signed], "_fp bigint")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 400
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "u bigint, v bigint")
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
