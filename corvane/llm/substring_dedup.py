@@ -7,19 +7,21 @@ subsequence within the window that holds the centre has the centre's hash as its
 Passages of similarity s have the same min-hash under a share s of the functions.
 
 1. Windows of all documents are grouped by function and min-hash. Groups up to ALL_PAIRS
-   windows are paired in full. In larger ones each document is paired with the one before it,
-   in an order that is the same in all groups; then they are split by the min-hashes of two
-   more functions around the centre, group by group again in full or as a chain: copies are
-   never expanded into all pairs, and no document has to meet all others.
+   windows are paired in full. The windows of larger ones get the shingles around their
+   centres (``contexts``); within a group, links are told by those (``_linked``): every window
+   whose repeated shingles are not all within passages found, or that is not connected to the
+   largest component of its group, is compared with all others. So every passage that holds
+   the centre is found and connected, and copies are not expanded into all pairs. Groups of
+   over BLOCK windows are worked on by pairs of blocks, so that any two windows meet.
 2. The windows of two documents are joined as intervals: where windows of AGREE functions or
-   more overlap at the same relative position, a near-duplicate passage may lie.
+   more overlap at the same relative position, a near-duplicate passage may lie. Links of
+   larger groups need no other function.
 3. Every document's stretches are verified on the texts' shingles (similarity LEAST or more
-   over at least ``length`` of them): first with the partner that most functions name, then,
-   where that one fails, with all others.
+   over at least ``length`` of them): first with the partner that most functions name, then
+   with all others where that one fails or where they would connect two classes.
 
-A min-hash that very many windows share would make one large group; such groups are told by
-a sample of the documents (it only decides how rows travel) and are split before the shuffle
-by the further min-hashes and in the end by document.
+Work in a large group grows with the square of its windows only where they share ``length``
+shingles with others, in part, and are not near copies.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import freed, partitions, released, stored, text_or_empty
+from .common import freed, released, stored, text_or_empty
+from .simhash import components
 
 SHINGLE = 5
 #: Shingles of a passage of 50 words.
@@ -40,8 +43,10 @@ LENGTH = 46
 HASHES, AGREE, LEAST = 6, 3, 0.8
 #: Windows of a group that are paired in full; how far the relative positions of two documents' windows may differ.
 ALL_PAIRS, SHIFT = 16, 8
-#: One document in SAMPLE is read to tell min-hashes that overload a task: those of over LIGHT windows and one part in SHARE of a mean partition.
-SAMPLE, LIGHT, SHARE = 64, 2000, 4
+#: Windows of a block of a large group; any two blocks of a group meet in a task.
+BLOCK = 4096
+#: Stands for all functions in a span: a link that needs no other.
+SURE = 255
 #: Documents worked on at once.
 SLICE = 64
 _SPACE = np.zeros(256, bool)
@@ -137,14 +142,13 @@ def _hash(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def _windows(texts: list[str], length: int, hashes: int) -> tuple[np.ndarray, ...]:
-    """min-hash, text, place, beside of every compact window of some texts. place: centre, reach to its left and right, function. beside: 8 bits each of the min-hashes of two more functions around the centre."""
+    """min-hash, text, place of every compact window of some texts. place: centre, reach to its left and right, function."""
     s, bounds = shingles(texts)
-    out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int64)]
+    out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64)]
     inside = np.zeros(len(s), bool)
     for a, b in bounds.tolist():
         inside[a:b] = True
     values = [np.where(inside, _hash(s, k), np.uint64(0)) for k in range(hashes)]
-    near = length // 2
     for k, h in enumerate(values):
         left, centre, right = compact_windows(h, length, length)
         if not len(centre):
@@ -155,60 +159,29 @@ def _windows(texts: list[str], length: int, hashes: int) -> tuple[np.ndarray, ..
         keep = np.ones(len(centre), bool)
         keep[same] = False
         left, centre, right, owner = left[keep], centre[keep], right[keep], owner[keep]
-        around = np.stack([np.maximum(centre - near, left), np.minimum(centre + near, right) + 1], 1).ravel()
-        beside = [np.minimum.reduceat(np.append(values[(k + j) % hashes], np.uint64(0)), around)[::2].astype(np.int64) & 0xFF for j in (1, 2)]
         place = (centre - bounds[owner, 0]) << 24 | (centre - left) << 16 | (right - centre) << 8 | k
-        for column, v in zip(out, (_mix(h[centre] + np.uint64(k)), owner, place, beside[0] << 8 | beside[1]), strict=True):
+        for column, v in zip(out, (_mix(h[centre] + np.uint64(k)), owner, place), strict=True):
             column.append(v)
     return tuple(map(np.concatenate, out))
 
 
-def _parted(key: np.ndarray, beside: np.ndarray, salt: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The group of each window, and its groups at all levels: a heavy group is parted by the next function's min-hash, by that of the one after, and by document."""
-    levels = [key]
-    for more in (beside >> 8, beside & 0xFF, salt):
-        levels.append(_mix(levels[-1] + more.astype(np.uint64) * np.uint64(_ODD) + np.uint64(1)))
-    group, parted = key, np.ones(len(key), bool)
-    for here, below in zip(levels, levels[1:], strict=False):
-        parted = parted & np.isin(here.view(np.int64), heavy)
-        group = np.where(parted, below, group)
-    return group, *levels[:3]
-
-
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _text, _doc: a hash of both that stands for the document from here on."""
     base = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     return base.withColumn("_doc", F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("\0")), "_text"))
 
 
-def windows(numbered: DataFrame, length: int = LENGTH, hashes: int = HASHES, heavy: list[int] | None = None) -> DataFrame:
-    """g (group), doc, place, beside of all windows. With ``heavy`` None, one row for each level of a window's group instead (``g`` alone)."""
-    known = np.array(sorted(heavy or []), np.int64)
+def windows(numbered: DataFrame, length: int = LENGTH, hashes: int = HASHES) -> DataFrame:
+    """g (group), doc, place of all windows."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 b = batch.slice(at, SLICE)
-                key, owner, place, beside = _windows(b.column(1).to_pylist(), length, hashes)
-                doc = b.column(0).to_numpy()[owner]
-                group, *levels = _parted(key, beside, doc >> 52, known)
-                if heavy is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(levels).view(np.int64))], names=["g"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(doc), pa.array(place), pa.array(beside.astype(np.int32))], names=["g", "doc", "place", "beside"])
-
-    return numbered.select("_doc", "_text").mapInArrow(found, "g bigint" if heavy is None else "g bigint, doc bigint, place bigint, beside int")
-
-
-def heavy_groups(numbered: DataFrame, length: int = LENGTH, hashes: int = HASHES) -> list[int]:
-    """Groups that would overload a task, by a sample of the documents; fewer than 3 * SHARE * partitions."""
-    counts = windows(numbered.filter(F.pmod("_doc", F.lit(SAMPLE)) == 0), length, hashes).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    counts = stored(counts.filter("n > 1").unionByName(counts.agg(F.lit(None).cast("bigint").alias("g"), F.sum("n").alias("n"))), "windows")
-    total = (counts.filter("g is null").first()["n"] or 0) // 3
-    limit = max(LIGHT // SAMPLE, total // (SHARE * partitions(numbered.sparkSession)))
-    out = [r["g"] for r in counts.filter((F.col("n") > limit) & F.col("g").isNotNull()).select("g").collect()]
-    released(counts)
-    return out
+                key, owner, place = _windows(b.column(1).to_pylist(), length, hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(b.column(0).to_numpy()[owner]), pa.array(place)], names=["g", "doc", "place"])
+
+    return numbered.select("_doc", "_text").mapInArrow(found, "g bigint, doc bigint, place bigint")
 
 
 def _runs(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,50 +194,159 @@ def _runs(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _partners(rows: np.ndarray, doc: np.ndarray, starts: np.ndarray, run: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Pairs (of ``rows``) within runs sorted by document, and the places of rows in runs too large for all pairs: those are paired with the document before."""
-    size = np.diff(np.append(starts, len(rows)))[run]
-    out = []
-    small = size <= ALL_PAIRS
-    for d in range(1, min(ALL_PAIRS, int(size[small].max(initial=1)))):
-        i = np.flatnonzero(small[d:] & (run[d:] == run[:-d]) & (doc[d:] != doc[:-d])) + d
-        out.append((rows[i], rows[i - d]))
-    large = np.flatnonzero(~small)
-    if len(large):
-        # Rows of one document in a run are a block: each meets the end of the block before, those of the first block the start of the next.
-        heads, block = _runs([run, doc])
-        ends = np.append(heads[1:], len(rows))
-        before, after = heads[block[large]] - 1, ends[block[large]]
-        led = (before >= 0) & (run[np.maximum(before, 0)] == run[large])
-        follows = ~led & (after < len(rows)) & (run[np.minimum(after, len(rows) - 1)] == run[large])
-        out += [(rows[large[led]], rows[before[led]]), (rows[large[follows]], rows[after[follows]])]
-    return out, large
-
-
-def _pairs(g: np.ndarray, doc: np.ndarray, place: np.ndarray, beside: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _pairs(g: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """a, b (smaller and larger document), shift, span of windows that meet in complete groups. span: lo, hi in ``a`` and function."""
-    _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(count[inverse] > 1)
-    g, doc, place, beside = g[at], doc[at], place[at], beside[at]
     order = np.lexsort((place, doc, g))
-    pairs, large = _partners(order, doc[order], *_runs([g[order]]))
-    for keys in ([beside >> 8, g], [beside, g]):
-        if not len(large):
-            break
-        rows = order[large]
-        order = rows[np.lexsort((place[rows], doc[rows], *[k[rows] for k in keys]))]
-        more, large = _partners(order, doc[order], *_runs([k[order] for k in keys]))
-        pairs += more
-    i, j = (np.concatenate([np.zeros(0, np.int64), *[p[s] for p in pairs]]) for s in (0, 1))
-    swap = doc[i] > doc[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    p, q = place[i], place[j]
+    _, run = _runs([g[order]])
+    d = [doc[order[k:]] != doc[order[: len(order) - k]] for k in range(min(ALL_PAIRS, len(order)))]
+    at = [np.flatnonzero(d[k] & (run[k:] == run[: len(run) - k])) for k in range(1, len(d))]
+    i = np.concatenate([np.zeros(0, np.int64), *[order[x + k] for k, x in enumerate(at, 1)]])
+    j = np.concatenate([np.zeros(0, np.int64), *[order[x] for x in at]])
+    p, q = place[j], place[i]
     c = p >> 24
     lo = c - np.minimum(p >> 16 & 255, q >> 16 & 255)
     hi = c + np.minimum(p >> 8 & 255, q >> 8 & 255)
-    ok = (hi - lo + 1 >= length - SHIFT) & (i != j)
+    ok = hi - lo + 1 >= length - SHIFT
     span = (lo << 32 | (hi - lo) << 8 | p & 255)[ok]
-    return doc[i][ok], doc[j][ok], ((q >> 24) - c)[ok], span
+    return doc[j][ok], doc[i][ok], ((q >> 24) - c)[ok], span
+
+
+def contexts(numbered: DataFrame, large: DataFrame, length: int = LENGTH) -> DataFrame:
+    """g, doc, place, s: windows of large groups with their shingles, four bytes each."""
+    asked = large.groupBy("doc").agg(F.collect_set(F.struct("g", "place")).alias("w"))
+    texts = numbered.select("_doc", "_text").dropDuplicates(["_doc"]).join(asked, F.col("_doc") == F.col("doc")).select("doc", "_text", F.col("w.g").alias("g"), F.col("w.place").alias("place"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
+                s, bounds = shingles(b.column(1).to_pylist())
+                s = (s >> np.uint64(32)).astype(np.uint32)
+                owner = np.repeat(np.arange(b.num_rows), [len(x) for x in b.column(2).to_pylist()])
+                g, place = b.column(2).flatten(), b.column(3).flatten().to_numpy()
+                inside = _inside(place, length)
+                where = (bounds[owner, 0] + (place >> 24))[:, None] + np.arange(1 - length, length)
+                many = np.concatenate([[0], np.cumsum(inside.sum(1))]).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((4 * many).astype(np.int32)), pa.py_buffer(s[where[inside]])])
+                yield pa.RecordBatch.from_arrays([g, pa.array(b.column(0).to_numpy()[owner]), pa.array(place), held], names=["g", "doc", "place", "s"])
+
+    return texts.mapInArrow(cut, "g bigint, doc bigint, place bigint, s binary")
+
+
+def _inside(place: np.ndarray, length: int) -> np.ndarray:
+    """Which of the places around each window's centre it holds."""
+    steps = np.arange(1 - length, length)
+    return (steps >= -(place >> 16 & 255)[:, None]) & (steps <= (place >> 8 & 255)[:, None])
+
+
+def _stretches_of(hit: np.ndarray, length: int) -> np.ndarray:
+    """Which places of each row are in a stretch of at least ``length`` of which a share of 2 * LEAST / (1 + LEAST) is hit."""
+    n, wide = hit.shape
+    edge = np.zeros((n, wide + 1), np.int32)
+    for at in range(0, n, 1024):
+        total = np.zeros((len(hit[at : at + 1024]), wide + 1), np.float32)
+        np.cumsum(hit[at : at + 1024] - np.float32(2 * LEAST / (1 + LEAST)), axis=1, out=total[:, 1:])
+        low = np.minimum.accumulate(total[:, : wide + 1 - length], axis=1)
+        reach = total[:, length:] + np.float32(1e-3)
+        rows, end = np.nonzero(low <= reach)
+        # The farthest start from which a stretch up to each end is similar enough.
+        start = (low[rows] <= reach[rows, end][:, None]).argmax(1)
+        np.add.at(edge, (at + rows, start), 1)
+        np.add.at(edge, (at + rows, end + length), -1)
+    return np.cumsum(edge, axis=1)[:, :-1] > 0
+
+
+def _linked(doc: np.ndarray, place: np.ndarray, s: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """a, b, shift, span as ``_pairs`` gives them, of the windows of one large group. s: their shingles end to end.
+
+    The pairs connect all windows that share a passage, and cover every place of each that
+    lies in one: a pair is left out only if it does neither. Both windows of a pair hold
+    enough places whose shingles come in other documents of the group.
+    """
+    inside = _inside(place, length)
+    wide, need = inside.shape[1], int(np.ceil(length * 2 * LEAST / (1 + LEAST) - 1e-9))
+    void = len(known := np.unique(s))
+    ids = np.full(inside.shape, void, np.int32)
+    ids[inside] = np.searchsorted(known, s)
+    own = np.unique(doc, return_inverse=True)[1]
+    while len(doc):
+        # Shingles of two documents or more; windows with too few of them share no passage.
+        each = np.unique(ids.astype(np.int64) * len(doc) + own[:, None]) // len(doc)
+        repeated = np.bincount(each, minlength=void + 1) > 1
+        repeated[void] = False
+        ids = np.where(repeated[ids], ids, void)
+        keep = (ids != void).sum(1) >= need
+        if keep.all():
+            # What two windows share is repeated, and so lies in a stretch of such places.
+            within = _stretches_of(ids != void, length)
+            keep = within.any(1)
+        if keep.all():
+            break
+        doc, place, ids = doc[keep], place[keep], ids[keep]
+        own = np.unique(doc, return_inverse=True)[1]
+    if not len(doc):
+        return (np.zeros(0, np.int64),) * 4
+    out = []
+
+    def add(i: np.ndarray, j: np.ndarray, of_i: np.ndarray, of_j: np.ndarray) -> None:
+        """Pairs of windows, with the places of either that are covered."""
+        swap = doc[j] < doc[i]
+        at = np.where(swap[:, None], of_j, of_i)
+        edge = np.diff(at.astype(np.int8), axis=1, prepend=0, append=0)
+        (row, lo), hi = np.nonzero(edge == 1), np.nonzero(edge == -1)[1] - 1
+        a, b = np.where(swap, j, i)[row], np.where(swap, i, j)[row]
+        begin = (place[a] >> 24) + lo - (length - 1)
+        out.append((doc[a], doc[b], (place[b] >> 24) - (place[a] >> 24), begin << 32 | (hi - lo) << 8 | SURE))
+
+    # Of windows with the same repeated shingles at the same places, the first stands for all: no other has more in common with them.
+    rows = np.ascontiguousarray(ids).view(np.dtype((np.void, ids.dtype.itemsize * wide))).ravel()
+    _, head, same = np.unique(rows, return_index=True, return_inverse=True)
+    copy = np.flatnonzero(doc != doc[head][same])
+    add(head[same][copy], copy, within[copy], within[copy])
+    copied = np.zeros(len(doc), bool)
+    copied[head[same][copy]] = True
+    bare = (ids != void) & within & ~copied[:, None]
+    doc, place, ids, bare = (np.delete(x, copy, axis=0) for x in (doc, place, ids, bare))
+    n = len(doc)
+    # Places not yet covered (bare), components, and windows compared with all others.
+    label, asked, many = np.arange(n), np.zeros(n, bool), 1
+    while n:
+        left = np.flatnonzero(~asked & ((label != np.bincount(label).argmax()) | bare.any(1)))
+        if not len(left):
+            break
+        # One at first, which may leave little to do, then several at once.
+        some = left[np.argsort(-bare[left].sum(1), kind="stable")[: min(many, 1 + 65536 // n)]]
+        many = min(4 * many, 64)
+        asked[some] = True
+        slot = np.full((len(some), void + 1), wide, np.int16)
+        np.put_along_axis(slot, ids[some], np.arange(wide, dtype=np.int16)[None], axis=1)
+        slot[:, void] = wide
+        met = slot[:, ids]
+        k, j = np.nonzero((met < wide).sum(2) >= need)
+        ok = doc[some[k]] != doc[j]
+        k, j = k[ok], j[ok]
+        i, met = some[k], met[k, j]
+        # The places of j whose shingles i has, and of i whose shingles j has.
+        hit, held = met < wide, np.zeros((len(k), wide + 1), bool)
+        np.put_along_axis(held, met.astype(np.int64), True, axis=1)
+        held[:, wide] = False
+        held = np.take_along_axis(held, np.take_along_axis(slot, ids[some], axis=1)[k].astype(np.int64), axis=1)
+        use = np.flatnonzero((label[i] != label[j]) | (bare[j] & hit).any(1) | (bare[i] & held).any(1))
+        for at in range(0, len(use), 8192):
+            u = use[at : at + 8192]
+            there, here = _stretches_of(hit[u], length), _stretches_of(held[u], length)
+            ok = np.where(doc[j[u]] < doc[i[u]], there.any(1), here.any(1))
+            kept = []
+            for r, x, y in zip(np.flatnonzero(ok).tolist(), i[u][ok].tolist(), j[u][ok].tolist(), strict=True):
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                elif not (bare[y] & there[r]).any() and not (bare[x] & here[r]).any():
+                    continue
+                kept.append(r)
+                bare[y] &= ~there[r]
+                bare[x] &= ~here[r]
+            add(i[u][kept], j[u][kept], here[kept], there[kept])
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -304,7 +386,8 @@ def _agreed(a: np.ndarray, b: np.ndarray, shift: np.ndarray, span: np.ndarray, l
     starts, _ = _runs([run[row], bucket, cell])
     if not len(starts):
         return (np.zeros(0, np.int64),) * 6
-    votes = np.bitwise_count(np.bitwise_or.reduceat(np.int64(1) << (span[row] & 255), starts))
+    function = span[row] & 255
+    votes = np.bitwise_count(np.bitwise_or.reduceat(np.where(function == SURE, (1 << 62) - 1, np.int64(1) << np.minimum(function, 61)), starts))
     least, low, high = np.minimum.reduceat(shift[row], starts), np.minimum.reduceat(lo[row], starts), np.maximum.reduceat(hi[row], starts)
     ok = votes >= agree
     pair, bucket, votes, least, low, high = run[row[starts]][ok], bucket[starts][ok], votes[ok], least[ok], low[ok], high[ok]
@@ -323,19 +406,44 @@ def _agreed(a: np.ndarray, b: np.ndarray, shift: np.ndarray, span: np.ndarray, l
 
 
 def candidates(numbered: DataFrame, length: int = LENGTH, hashes: int = HASHES, agree: int = AGREE) -> DataFrame:
-    """a, b, shift, lo, hi, votes: shingles lo to hi of document a, beside those of b ``shift`` further on, that may hold a near-duplicate passage."""
+    """a, b, shift, lo, hi, votes, n (a number): shingles lo to hi of document a, beside those of b ``shift`` further on, that may hold a near-duplicate passage."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_runs(batches, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _pairs(*columns, length)], names=["a", "b", "shift", "span"])
+        for g, doc, place in _whole_runs(batches, 1):
+            starts, run = _runs([g])
+            many = np.diff(np.append(starts, len(g)))[run]
+            pairs = _pairs(*(c[many <= ALL_PAIRS] for c in (g, doc, place)), length)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], names=["a", "b", "shift", "span"])
+            large = [c[many > ALL_PAIRS] for c in (doc, place, g)]
+            yield pa.RecordBatch.from_arrays([pa.array(large[0]), pa.nulls(len(large[0]), pa.int64()), *map(pa.array, large[1:])], names=["a", "b", "shift", "span"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_runs(batches, 2):
+            starts, _ = _runs(columns[:2])
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(columns[0])], strict=True):
+                _, _, doc, place, s = (c[i:j] for c in columns)
+                found = _linked(doc, place, np.frombuffer(b"".join(s.tolist()), np.uint32), length)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "shift", "span"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_runs(batches, 2):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _agreed(*columns, length, agree)], names=["a", "b", "shift", "lo", "hi", "votes"])
 
-    rows = windows(numbered, length, hashes, heavy_groups(numbered, length, hashes))
-    pairs = rows.repartition("g").sortWithinPartitions("g").mapInArrow(met, "a bigint, b bigint, shift bigint, span bigint")
-    return pairs.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(joined, "a bigint, b bigint, shift bigint, lo bigint, hi bigint, votes bigint")
+    pair = "a bigint, b bigint, shift bigint, span bigint"
+    rows = stored(windows(numbered, length, hashes).repartition("g").sortWithinPartitions("g").mapInArrow(met, pair), "met")
+    freed(numbered.sparkSession)
+    large = rows.filter("b is null").select(F.col("span").alias("g"), F.col("a").alias("doc"), F.col("shift").alias("place"))
+    blocks = large.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("m"))
+    others = F.when(F.col("m") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1), lambda i: i != F.col("block")))
+    dealt = contexts(numbered, large, length).join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("doc"), "m")).withColumn("other", F.explode(others))
+    dealt = dealt.select("g", (F.least("block", "other") * F.col("m") + F.greatest("block", "other")).alias("part"), "doc", "place", "s")
+    more = stored(dealt.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(linked, pair), "linked")
+    freed(numbered.sparkSession)
+    pairs = rows.filter("b is not null").unionByName(more)
+    strips = pairs.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(joined, "a bigint, b bigint, shift bigint, lo bigint, hi bigint, votes bigint")
+    out = stored(strips.withColumn("n", F.monotonically_increasing_id()), "strips")
+    released(rows, more)
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, length: int = LENGTH, least: float = LEAST) -> list[tuple[int, int, int, int]]:
@@ -415,11 +523,12 @@ def verified(held: DataFrame, strips: DataFrame, length: int = LENGTH) -> DataFr
 def near_links(numbered: DataFrame, length: int = LENGTH, hashes: int = HASHES, agree: int = AGREE) -> list[DataFrame]:
     """The verified passages (as ``verified`` gives them), in two tables.
 
-    A document's stretch needs one partner. The strips that most functions agree on go
-    first, one a document and stretch; the others only where those are not confirmed.
+    A document's stretch needs one partner, and a class has to be connected. The strips that
+    most functions agree on go first, one a document and stretch; the others only where those
+    are not confirmed, or where their documents are not connected by them.
     """
     spark = numbered.sparkSession
-    strips = stored(candidates(numbered, length, hashes, agree).withColumn("n", F.monotonically_increasing_id()), "strips")
+    strips = candidates(numbered, length, hashes, agree)
     freed(spark)
     held = stored(sketches(numbered, strips), "sketches")
     freed(spark)
@@ -453,15 +562,19 @@ def _chosen(strips: DataFrame, length: int) -> DataFrame:
 
 
 def _unconfirmed(strips: DataFrame, chosen: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """The other strips that cover a stretch which no passage found so far reaches."""
+    """The other strips that cover a stretch which no passage found so far reaches, or whose documents no passages connect."""
     reached = lambda s, w: _cells(F.col(s), F.col(s) + F.col(w) - SHINGLE, length)
     done = found.select(F.col("a").alias("doc"), reached("a_start", "a_words").alias("cell")).unionByName(found.select(F.col("b").alias("doc"), reached("b_start", "b_words").alias("cell"))).distinct()
     left = _stretches(strips, length).join(chosen.select("n"), "n", "left_anti").join(done, ["doc", "cell"], "left_anti").select("n").distinct()
-    return strips.join(left, "n", "left_semi")
+    linked = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    root = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    others = strips.join(chosen.select("n"), "n", "left_anti")
+    apart = others.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("n")
+    return strips.join(left.unionByName(apart).distinct(), "n", "left_semi")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hashes: int = HASHES, agree: int = AGREE) -> DataFrame:
-    """One row per document that shares a passage with another: ``id_col``, first_id (smallest id it was matched with, itself included), passages, words, spans.
+    """One row per document that shares a passage with another: ``id_col``, class_id (smallest id reachable over shared passages, itself included), passages, words, spans.
 
     spans: structs of start and end (words from 0, end exclusive), merged where they overlap
     and in order. Null and short texts share nothing; an empty table gives no rows. Rows with
@@ -472,10 +585,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = None
     for part in near_links(_numbered(docs, id_col, text_col), length, hashes, agree):
         found = part if found is None else found.unionByName(part)
-    one = lambda x: found.select(F.col(f"{x}_id").alias("_id"), F.col(f"{x}_start").alias("s"), (F.col(f"{x}_start") + F.col(f"{x}_words")).alias("e"), F.least("a_id", "b_id").alias("other"))
-    spans = one("a").unionByName(one("b")).groupBy("_id", "s").agg(F.max("e").alias("e"), F.min("other").alias("other"))
+    linked = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # Rows of one id with different texts take the least class of theirs.
+    ids = found.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_id").alias("_id")), F.struct(F.col("b").alias("node"), F.col("b_id").alias("_id")))).alias("x")).select("x.*").distinct()
+    member = ids.join(linked, "node").select("root", "_id")
+    classed = member.join(member.groupBy("root").agg(F.min("_id").alias("class_id")), "root").groupBy("_id").agg(F.min("class_id").alias("class_id"))
+    one = lambda x: found.select(F.col(f"{x}_id").alias("_id"), F.col(f"{x}_start").alias("s"), (F.col(f"{x}_start") + F.col(f"{x}_words")).alias("e"))
+    spans = one("a").unionByName(one("b")).groupBy("_id", "s").agg(F.max("e").alias("e"))
     order = Window.partitionBy("_id").orderBy("s")
     reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(reached.isNull() | (F.col("s") > reached), 1).otherwise(0)).withColumn("g", F.sum("new").over(order))
-    merged = marked.groupBy("_id", "g").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.min("other").alias("other"))
-    return merged.groupBy("_id").agg(F.min("other").alias("first_id"), F.count(F.lit(1)).alias("passages"), F.sum(F.col("end") - F.col("start")).alias("words"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")).withColumnRenamed("_id", id_col)
+    merged = marked.groupBy("_id", "g").agg(F.min("s").alias("start"), F.max("e").alias("end"))
+    each = merged.groupBy("_id").agg(F.count(F.lit(1)).alias("passages"), F.sum(F.col("end") - F.col("start")).alias("words"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    named = each.join(classed.withColumnRenamed("_id", "_of"), F.col("_id").eqNullSafe(F.col("_of")))
+    return named.select(F.col("_id").alias(id_col), "class_id", "passages", "words", "spans")

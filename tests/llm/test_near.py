@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from conftest_rows import ROWS
 
@@ -219,6 +220,35 @@ def test_passage_of_two_documents_around_a_line_of_many(spark):
     assert sorted(got) == want and all(sum(s.end - s.start for s in r.spans) >= 45 for r in got.values())
 
 
+@pytest.mark.parametrize(("many", "block"), [(100, 4096), (400, 4096), (400, 64)])
+def test_passage_of_two_documents_around_a_line_of_a_large_group(spark, monkeypatch, many, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng = random.Random(9)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n)]
+    docs, want = [], {}
+    for group in range(0, 15 * many, many):
+        line, before, after = some(44), some(3), some(3)
+        near = rng.sample(range(many), 2)
+        for i in range(many):
+            docs.append((group + i, " ".join(some(60) + before * (i in near) + line + after * (i in near) + some(60))))
+        want |= {group + i: group + min(near) for i in near}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(df).collect()}
+    assert {i: r.class_id for i, r in got.items()} == want and all(sum(s.end - s.start for s in r.spans) >= 45 for r in got.values())
+
+
+def test_classes_are_connected(spark):
+    # Two passages in 40 documents each; one document has both, and copies of it do not hide that.
+    rng = random.Random(10)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    x, y, z = some(60), some(60), some(60)
+    texts = [some(30) + x + some(30) for _ in range(40)] + [some(30) + y + some(30) for _ in range(40)] + [some(30) + z + some(30) for _ in range(40)]
+    texts += [x + some(20) + y] * 30
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == {i: 80 if 80 <= i < 120 else 0 for i in range(150)}
+
+
 def test_near_equal_passages(spark):
     rng = random.Random(11)
     some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
