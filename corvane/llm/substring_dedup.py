@@ -8,11 +8,15 @@ Passages of similarity s have the same min-hash under a share s of the functions
 
 1. Windows of all documents are grouped by function and min-hash. Groups up to ALL_PAIRS
    windows are paired in full. The windows of larger ones get the shingles around their
-   centres (``contexts``); within a group, links are told by those (``_linked``): every window
-   whose repeated shingles are not all within passages found, or that is not connected to the
-   largest component of its group, is compared with all others. So every passage that holds
-   the centre is found and connected, and copies are not expanded into all pairs. Groups of
-   over BLOCK windows are worked on by pairs of blocks, so that any two windows meet.
+   centres (``contexts``). Windows that hold the same shingles are linked to one of theirs
+   (``_copies``), which stands for all from here on. Among those, links are told by the
+   shingles (``_linked``): every window whose repeated shingles are not all within passages
+   found, or that is not connected to the largest component of its group, is compared with
+   all others. So every passage that holds the centre is found and connected, and copies are
+   not expanded into all pairs. Groups of over BLOCK windows are worked on by pairs of blocks,
+   so that any two windows meet; links within a block are given once, and those between two
+   blocks only where they connect or cover what links within either do not. So a window's
+   links do not grow in number with the windows of its group.
 2. The windows of two documents are joined as intervals: where windows of AGREE functions or
    more overlap at the same relative position, a near-duplicate passage may lie. Links of
    larger groups need no other function.
@@ -56,6 +60,8 @@ _LOWER[65:91] += 32
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _PLACE = np.uint64(0xFFFFFFFF)
+#: Of a window's place: the reach to both sides.
+_REACH = 0xFFFF00
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -212,7 +218,7 @@ def _pairs(g: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int) -> tu
 
 
 def contexts(numbered: DataFrame, large: DataFrame, length: int = LENGTH) -> DataFrame:
-    """g, doc, place, s: windows of large groups with their shingles, four bytes each."""
+    """g, doc, place, s, h, more: windows of large groups with their shingles, four bytes each, a hash of reach and shingles, and whether the document has several in the group."""
     asked = large.groupBy("doc").agg(F.collect_set(F.struct("g", "place")).alias("w"))
     texts = numbered.select("_doc", "_text").dropDuplicates(["_doc"]).join(asked, F.col("_doc") == F.col("doc")).select("doc", "_text", F.col("w.g").alias("g"), F.col("w.place").alias("place"))
 
@@ -227,10 +233,18 @@ def contexts(numbered: DataFrame, large: DataFrame, length: int = LENGTH) -> Dat
                 inside = _inside(place, length)
                 where = (bounds[owner, 0] + (place >> 24))[:, None] + np.arange(1 - length, length)
                 many = np.concatenate([[0], np.cumsum(inside.sum(1))]).astype(np.int32)
-                held = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((4 * many).astype(np.int32)), pa.py_buffer(s[where[inside]])])
-                yield pa.RecordBatch.from_arrays([g, pa.array(b.column(0).to_numpy()[owner]), pa.array(place), held], names=["g", "doc", "place", "s"])
+                own = s[where[inside]]
+                held = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((4 * many).astype(np.int32)), pa.py_buffer(own)])
+                # The place in the window counts, and its reach.
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(own.astype(np.uint64) << np.uint64(32) | np.nonzero(inside)[1].astype(np.uint64)))])
+                h = _mix(total[many[1:]] - total[many[:-1]] + (place & _REACH).astype(np.uint64))
+                order = np.lexsort((g.to_numpy(), owner))
+                starts, run = _runs([owner[order], g.to_numpy()[order]])
+                more = np.zeros(len(owner), bool)
+                more[order] = np.diff(np.append(starts, len(owner)))[run] > 1
+                yield pa.RecordBatch.from_arrays([g, pa.array(b.column(0).to_numpy()[owner]), pa.array(place), held, pa.array(h.view(np.int64)), pa.array(more)], names=["g", "doc", "place", "s", "h", "more"])
 
-    return texts.mapInArrow(cut, "g bigint, doc bigint, place bigint, s binary")
+    return texts.mapInArrow(cut, "g bigint, doc bigint, place bigint, s binary, h bigint, more boolean")
 
 
 def _inside(place: np.ndarray, length: int) -> np.ndarray:
@@ -256,12 +270,40 @@ def _stretches_of(hit: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge, axis=1)[:, :-1] > 0
 
 
-def _linked(doc: np.ndarray, place: np.ndarray, s: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """a, b, shift, span as ``_pairs`` gives them, of the windows of one large group. s: their shingles end to end.
+def _copies(g: np.ndarray, h: np.ndarray, doc: np.ndarray, place: np.ndarray, more: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Links of windows of large groups that hold the same shingles (same h), as ``_pairs`` gives them, then which windows stay and which of these the links cover. Sorted by g, h, doc, place.
+
+    All link to the first, and those of its document to the first of another. The first
+    stays; if its document has other windows in the group, which it can't be linked to, so
+    does the first of another document. Windows of one document only stay.
+    """
+    starts, run = _runs([g, h])
+    first = starts[run]
+    other = np.flatnonzero(doc != doc[first])
+    with_other, at = np.unique(run[other], return_index=True)
+    second = np.full(len(starts), -1)
+    second[with_other] = other[at]
+    shared = second[run] >= 0
+    i = np.where(doc == doc[first], np.arange(len(doc)), first)
+    j = np.where(doc == doc[first], second[run], np.arange(len(doc)))
+    linked = shared & (np.arange(len(doc)) != first)
+    i, j = i[linked], j[linked]
+    left, right = (np.minimum(place[i] >> k & 255, length - 1) for k in (16, 8))
+    centre = place[i] >> 24
+    stays = ~shared
+    stays[starts] = True
+    stays[second[with_other[more[starts[with_other]]]]] = True
+    return doc[i], doc[j], (place[j] >> 24) - centre, centre - left << 32 | left + right << 8 | SURE, stays, shared
+
+
+def _linked(doc: np.ndarray, place: np.ndarray, s: np.ndarray, covered: np.ndarray, block: np.ndarray, told: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """a, b, shift, span as ``_pairs`` gives them, of the windows of one large group or of two of its blocks. s: their shingles end to end.
 
     The pairs connect all windows that share a passage, and cover every place of each that
-    lies in one: a pair is left out only if it does neither. Both windows of a pair hold
-    enough places whose shingles come in other documents of the group.
+    lies in one, but for windows covered before: a pair is left out only if it does neither.
+    Both windows of a pair hold enough places whose shingles come in other documents of the
+    group. Pairs within a block come first; they are given where they are to be told, and
+    left to another task elsewhere.
     """
     inside = _inside(place, length)
     wide, need = inside.shape[1], int(np.ceil(length * 2 * LEAST / (1 + LEAST) - 1e-9))
@@ -282,7 +324,7 @@ def _linked(doc: np.ndarray, place: np.ndarray, s: np.ndarray, length: int) -> t
             keep = within.any(1)
         if keep.all():
             break
-        doc, place, ids = doc[keep], place[keep], ids[keep]
+        doc, place, ids, covered, block, told = (x[keep] for x in (doc, place, ids, covered, block, told))
         own = np.unique(doc, return_inverse=True)[1]
     if not len(doc):
         return (np.zeros(0, np.int64),) * 4
@@ -290,6 +332,8 @@ def _linked(doc: np.ndarray, place: np.ndarray, s: np.ndarray, length: int) -> t
 
     def add(i: np.ndarray, j: np.ndarray, of_i: np.ndarray, of_j: np.ndarray) -> None:
         """Pairs of windows, with the places of either that are covered."""
+        give = (block[i] != block[j]) | told[i]
+        i, j, of_i, of_j = (x[give] for x in (i, j, of_i, of_j))
         swap = doc[j] < doc[i]
         at = np.where(swap[:, None], of_j, of_i)
         edge = np.diff(at.astype(np.int8), axis=1, prepend=0, append=0)
@@ -298,22 +342,33 @@ def _linked(doc: np.ndarray, place: np.ndarray, s: np.ndarray, length: int) -> t
         begin = (place[a] >> 24) + lo - (length - 1)
         out.append((doc[a], doc[b], (place[b] >> 24) - (place[a] >> 24), begin << 32 | (hi - lo) << 8 | SURE))
 
-    # Of windows with the same repeated shingles at the same places, the first stands for all: no other has more in common with them.
-    rows = np.ascontiguousarray(ids).view(np.dtype((np.void, ids.dtype.itemsize * wide))).ravel()
+    # Of a block's windows with the same repeated shingles at the same places, the first stands for all: no other has more in common with them.
+    block = np.unique(block, return_inverse=True)[1]
+    rows = np.ascontiguousarray(np.column_stack([ids, block.astype(ids.dtype)])).view(np.dtype((np.void, ids.dtype.itemsize * (wide + 1)))).ravel()
     _, head, same = np.unique(rows, return_index=True, return_inverse=True)
-    copy = np.flatnonzero(doc != doc[head][same])
-    add(head[same][copy], copy, within[copy], within[copy])
-    copied = np.zeros(len(doc), bool)
-    copied[head[same][copy]] = True
-    bare = (ids != void) & within & ~copied[:, None]
-    doc, place, ids, bare = (np.delete(x, copy, axis=0) for x in (doc, place, ids, bare))
+    head = head[same]
+    copy = np.flatnonzero(doc != doc[head])
+    add(head[copy], copy, within[copy], within[copy])
+    covered = covered.copy()
+    covered[copy] = covered[head[copy]] = True
+    # One copy stays for the other windows of the first's document.
+    kept = copy[np.unique(same[copy], return_index=True)[1]]
+    copy = np.setdiff1d(copy, kept[np.bincount(own)[own[head[kept]]] > 1])
+    label = np.where(doc != doc[head], head, np.arange(len(doc)))
+    bare = (ids != void) & within & ~covered[:, None]
+    doc, place, ids, bare, label, block, told = (np.delete(x, copy, axis=0) for x in (doc, place, ids, bare, label, block, told))
     n = len(doc)
-    # Places not yet covered (bare), components, and windows compared with all others.
-    label, asked, many = np.arange(n), np.zeros(n, bool), 1
+    # Places not yet covered (bare), components (label), and windows compared with all others, first of their block, then of the other.
+    across, asked, many = False, np.zeros(n, bool), 1
     while n:
-        left = np.flatnonzero(~asked & ((label != np.bincount(label).argmax()) | bare.any(1)))
+        of = np.zeros_like(block) if across else block
+        most = np.array([np.bincount(label[of == k]).argmax() if (of == k).any() else -1 for k in (0, 1)])
+        left = np.flatnonzero(~asked & ((label != most[of]) | bare.any(1)))
         if not len(left):
-            break
+            if across or block.min() == block.max():
+                break
+            across, asked, many = True, np.zeros(n, bool), 1
+            continue
         # One at first, which may leave little to do, then several at once.
         some = left[np.argsort(-bare[left].sum(1), kind="stable")[: min(many, 1 + 65536 // n)]]
         many = min(4 * many, 64)
@@ -323,7 +378,7 @@ def _linked(doc: np.ndarray, place: np.ndarray, s: np.ndarray, length: int) -> t
         slot[:, void] = wide
         met = slot[:, ids]
         k, j = np.nonzero((met < wide).sum(2) >= need)
-        ok = doc[some[k]] != doc[j]
+        ok = (doc[some[k]] != doc[j]) & ((block[some[k]] != block[j]) == across)
         k, j = k[ok], j[ok]
         i, met = some[k], met[k, j]
         # The places of j whose shingles i has, and of i whose shingles j has.
@@ -417,12 +472,21 @@ def candidates(numbered: DataFrame, length: int = LENGTH, hashes: int = HASHES,
             large = [c[many > ALL_PAIRS] for c in (doc, place, g)]
             yield pa.RecordBatch.from_arrays([pa.array(large[0]), pa.nulls(len(large[0]), pa.int64()), *map(pa.array, large[1:])], names=["a", "b", "shift", "span"])
 
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, h, doc, place, more, s in _whole_runs(batches, 2):
+            *pairs, stays, shared = _copies(g, h, doc, place, more, length)
+            given = [pa.array(c) for c in pairs]
+            yield pa.RecordBatch.from_arrays([*given, *(pa.nulls(len(given[0]), t) for t in (pa.int64(), pa.binary(), pa.bool_()))], names=["a", "b", "shift", "span", "g", "s", "covered"])
+            kept = [pa.array(c[stays]) for c in (doc, place, g, shared)] + [pa.array(s[stays], pa.binary())]
+            none = pa.nulls(len(kept[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([kept[0], none, kept[1], none, kept[2], kept[4], kept[3]], names=["a", "b", "shift", "span", "g", "s", "covered"])
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_runs(batches, 2):
             starts, _ = _runs(columns[:2])
             for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(columns[0])], strict=True):
-                _, _, doc, place, s = (c[i:j] for c in columns)
-                found = _linked(doc, place, np.frombuffer(b"".join(s.tolist()), np.uint32), length)
+                _, _, doc, place, s, *more = (c[i:j] for c in columns)
+                found = _linked(doc, place, np.frombuffer(b"".join(s.tolist()), np.uint32), *more, length)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "shift", "span"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,16 +497,23 @@ def candidates(numbered: DataFrame, length: int = LENGTH, hashes: int = HASHES,
     rows = stored(windows(numbered, length, hashes).repartition("g").sortWithinPartitions("g").mapInArrow(met, pair), "met")
     freed(numbered.sparkSession)
     large = rows.filter("b is null").select(F.col("span").alias("g"), F.col("a").alias("doc"), F.col("shift").alias("place"))
-    blocks = large.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("m"))
+    same = contexts(numbered, large, length).select("g", "h", "doc", "place", "more", "s").repartition("g", "h").sortWithinPartitions("g", "h", "doc", "place")
+    copies = stored(same.mapInArrow(copied, f"{pair}, g bigint, s binary, covered boolean"), "copies")
+    freed(numbered.sparkSession)
+    stay = copies.filter("b is null").select("g", F.col("a").alias("doc"), F.col("shift").alias("place"), "s", "covered")
+    blocks = stay.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("m"))
     others = F.when(F.col("m") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1), lambda i: i != F.col("block")))
-    dealt = contexts(numbered, large, length).join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("doc"), "m")).withColumn("other", F.explode(others))
-    dealt = dealt.select("g", (F.least("block", "other") * F.col("m") + F.greatest("block", "other")).alias("part"), "doc", "place", "s")
-    more = stored(dealt.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(linked, pair), "linked")
+    dealt = stay.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("doc"), "m")).withColumn("other", F.explode(others))
+    # Links within a block are told by the pair that it makes with the next.
+    told = (F.col("other") == (F.col("block") + 1) % F.col("m")).alias("told")
+    dealt = dealt.select("g", (F.least("block", "other") * F.col("m") + F.greatest("block", "other")).alias("part"), "doc", "place", "s", "covered", "block", told)
+    more = stored(dealt.repartition("g", "part").sortWithinPartitions("g", "part", "doc", "place").mapInArrow(linked, pair), "linked")
     freed(numbered.sparkSession)
-    pairs = rows.filter("b is not null").unionByName(more)
+    given = copies.filter("b is not null").select("a", "b", "shift", "span")
+    pairs = rows.filter("b is not null").unionByName(given).unionByName(more)
     strips = pairs.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(joined, "a bigint, b bigint, shift bigint, lo bigint, hi bigint, votes bigint")
     out = stored(strips.withColumn("n", F.monotonically_increasing_id()), "strips")
-    released(rows, more)
+    released(rows, copies, more)
     return out
 
 

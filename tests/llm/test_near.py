@@ -237,6 +237,36 @@ def test_passage_of_two_documents_around_a_line_of_a_large_group(spark, monkeypa
     assert {i: r.class_id for i, r in got.items()} == want and all(sum(s.end - s.start for s in r.spans) >= 45 for r in got.values())
 
 
+def test_links_of_a_large_group_grow_with_its_windows(spark, monkeypatch):
+    # A passage between words of each document's own, a line that comes again and again, and near copies of a text; the groups fill up to 26 blocks.
+    monkeypatch.setattr(substring_dedup, "BLOCK", 64)
+    rng = random.Random(11)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, line, text = some(60), some(2), some(120)
+    kinds = [lambda: some(50) + passage + some(50), lambda: some(50) + line * 80 + some(50), lambda: (lambda k: text[:k] + some(1) + text[k + 1 :])(rng.randrange(120))]
+    for kind in kinds:
+        count = {}
+        for many in (100, 400):
+            df = spark.createDataFrame([(i, " ".join(kind())) for i in range(many)], "doc_id bigint, text string").repartition(3)
+            numbered = substring_dedup._numbered(df, "doc_id", "text").cache()
+            count[many] = substring_dedup.candidates(numbered).count()
+        assert count[400] <= 1.5 * 4 * count[100]
+    got = {r.doc_id: r.class_id for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == dict.fromkeys(range(400), 0)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_passage_that_comes_twice_in_each_document_of_a_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng = random.Random(12)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage = some(60)
+    docs = [(i, " ".join(some(120) + passage + some(120) + passage + some(120))) for i in range(40)]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    assert sorted(got) == list(range(40)) and {r.class_id for r in got.values()} == {0}
+    assert {i: [(x.start, x.end) for x in r.spans] for i, r in got.items()} == {i: [(120, 180), (300, 360)] for i in got}
+
+
 def test_classes_are_connected(spark):
     # Two passages in 40 documents each; one document has both, and copies of it do not hide that.
     rng = random.Random(10)
