@@ -29,8 +29,8 @@ def content_hash(text: Column) -> Column:
 
 
 def unique_ratio(text: Column) -> Column:
-    """Distinct words over words of the lower-cased text; null without words."""
-    w = F.array_remove(F.split(F.lower(text), r"\s+"), "")
+    """Distinct words over words of the lower-cased text; null without words. A vertical tab does not part words, as in the SQL."""
+    w = F.array_remove(F.split(F.lower(text), r"[ \t\n\f\r]+"), "")
     return F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0))
 
 

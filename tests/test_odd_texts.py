@@ -30,7 +30,7 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["unified_field"])
+@pytest.mark.parametrize("name", ["unified_field", "quality_score"])
 def test_as_sql(spark, odd, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{odd}/documents.parquet/*.parquet')")
