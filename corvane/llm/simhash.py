@@ -45,6 +45,8 @@ BUCKET = 64
 STAR = 1000
 #: Pairs of min-hashes of the sketch that are keys of their own; also each with the next, for keys that unlike documents share.
 BANDS = 8
+#: Documents of a block of a large key; any two blocks of a key meet in a task.
+BLOCK = 2048
 #: Documents worked on at once.
 SLICE = 256
 #: Min-hashes of a document's shingles that travel with it, and how many two documents must have in common to be compared in full: at similarity 0.8 fewer than 7 of 16 agree once in 4,000 pairs.
@@ -228,8 +230,8 @@ def _stars(rows: DataFrame) -> DataFrame:
     return own.unionByName(heads.join(tops, "key").select(F.col("top").alias("a"), F.col("head").alias("b"))).filter("a <> b")
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Of pairs a, b (of column doc of ``docs``: doc, text) those whose word shingles have a Jaccard similarity of ``least`` or more."""
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc, s: the shingle sets of documents (doc, text), each once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,6 +239,80 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -
                 part = b.slice(at, SLICE)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "s"])
 
+    return docs.mapInArrow(sets, "doc bigint, s binary").dropDuplicates(["doc"])
+
+
+def _blocks(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """doc, root and sketch of the rows of a pair of blocks, and the places of either block; both are the same where a block meets itself."""
+    i, j, own, doc, root = (t.column(c).to_numpy() for c in ("i", "j", "own", "doc", "root"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+    return doc, root, sketch, np.flatnonzero(own == i), np.flatnonzero(own == j)
+
+
+def _links_within(rows: DataFrame, each: DataFrame, roots: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """a, b: similar documents that share a key (``rows``: key, doc), as many as connect all such of different roots (node, root; others are their own).
+
+    All pairs of a key whose sketches share SHARED min-hashes and whose roots differ are
+    compared in full, in the tasks: those of a key of over BLOCK documents by pairs of blocks.
+    First by sketches alone, so that shingle sets are sent for documents of such pairs only.
+    """
+    rooted = rows.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    dealt = rooted.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    sent = dealt.join(each.select("doc", "sketch"), "doc").select("key", "doc", "root", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "root", "sketch")
+
+    def met(t: pa.Table) -> pa.Table:
+        doc, root, sketch, left, right = _blocks(t)
+        found, columns = np.zeros(len(doc), bool), np.ascontiguousarray(sketch[right].T)
+        for at in range(0, len(left), SLICE):
+            part = left[at : at + SLICE]
+            n = np.zeros((len(part), len(right)), np.uint8)
+            for c, column in enumerate(columns):
+                n += sketch[part, c, None] == column
+            alike = (n >= SHARED) & (root[part, None] != root[right])
+            found[part] |= alike.any(1)
+            found[right] |= alike.any(0)
+        return t.filter(pa.array(found))
+
+    def compared(t: pa.Table) -> pa.Table:
+        doc, root, sketch, left, right = _blocks(t)
+        sets = [np.frombuffer(x, np.uint32) for x in t.column("s").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        begin = np.cumsum(size) - size
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        root, has, out = np.unique(root, return_inverse=True)[1], np.zeros(len(values), bool), []
+        for x in left.tolist():
+            y = right[root[right] != root[x]]
+            y = y[(sketch[y] == sketch[x]).sum(1) >= SHARED]
+            y = y[np.minimum(size[y], size[x]) >= least * np.maximum(size[y], size[x])]
+            for at in range(0, len(y), SLICE):
+                some = y[at : at + SLICE]
+                mine = code[begin[x] : begin[x] + size[x]]
+                has[mine] = True
+                upto = np.concatenate([[0], np.cumsum(size[some])])
+                held = np.concatenate([[0], np.cumsum(has[code[np.repeat(begin[some] - upto[:-1], size[some]) + np.arange(upto[-1])]])])
+                has[mine] = False
+                common = held[upto[1:]] - held[upto[:-1]]
+                for z in some[common >= least * (size[x] + size[some] - common)].tolist():
+                    if root[z] != root[x]:
+                        out.append((doc[x], doc[z]))
+                        root[root == root[z]] = root[x]
+        a, b = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1).T
+        return pa.table({"a": a, "b": b})
+
+    kind = "key bigint, i int, j int, own int, doc bigint, root bigint, sketch binary"
+    alike = stored(sent.groupBy("key", "i", "j").applyInArrow(met, kind), "alike")
+    named = stored(alike.select(F.col("doc").alias("named")).distinct(), "named")
+    held = stored(_sets(docs.join(named, F.col("doc") == F.col("named"), "left_semi"), words), "sets")
+    out = stored(alike.join(held, "doc").groupBy("key", "i", "j").applyInArrow(compared, "a bigint, b bigint").distinct(), "within")
+    released(alike, named, held)
+    return out
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Of pairs a, b (of column doc of ``docs``: doc, text) those whose word shingles have a Jaccard similarity of ``least`` or more."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -248,7 +324,7 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, least: float) -
 
     # Written first, so that the planner knows whether it is small.
     named = stored(pairs.select(F.explode(F.array("a", "b")).alias("named")).distinct(), "named")
-    held = stored(docs.join(named, F.col("doc") == F.col("named"), "left_semi").mapInArrow(sets, "doc bigint, s binary").dropDuplicates(["doc"]), "sets")
+    held = stored(_sets(docs.join(named, F.col("doc") == F.col("named"), "left_semi"), words), "sets")
     freed(docs.sparkSession)
     one = lambda c, s: held.select(F.col("doc").alias(c), F.col("s").alias(s))
     met = pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").select("a", "b", "sa", "sb")
@@ -262,10 +338,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Near copies have a Jaccard similarity of ``least`` or more of their shingles of ``words``
     words; groups are connected by such pairs. Candidates have fingerprints (of ``shingle``
-    words) within ``radius`` bits, or share a band of the sketch: of each key, every document
-    meets the least by a hash, or the least of STAR or so. Pairs whose sketches of SKETCH
-    min-hashes share SHARED or more are compared in full: first every document with the most
-    alike, then the others that this has not joined yet.
+    words) within ``radius`` bits, or share a band of the sketch. Pairs whose sketches of SKETCH
+    min-hashes share SHARED or more are compared in full: first every document with the least
+    of its keys (by a hash) that is most alike, then the others of those, and then all pairs
+    of each key that this has not joined yet.
     Null texts count as empty; empty texts are near copies of one another.
     A null id stays only in a group without others. Rows of the same id and text are one
     document: they stay or go together. An empty table gives no rows.
@@ -284,10 +360,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = base.select(key(F.col("_id"), F.col("_text")).alias("doc"), "_id", "_text").mapInArrow(hashed, f"doc bigint, id {kind}, fp bigint, sketch binary")
     each = stored(rows.dropDuplicates(["doc"]), "prints")
     prints = cut(each.groupBy(F.col("fp").alias("_fp")).agg(F.min("doc").alias("doc")))
-    near = ball_links(prints.select("_fp")) if radius == 2 else links(prints.select("_fp"), radius=radius)
+    near = cut(ball_links(prints.select("_fp")) if radius == 2 else links(prints.select("_fp"), radius=radius))
     head = lambda f, d: prints.select(F.col("_fp").alias(f), F.col("doc").alias(d))
     across = near.join(head("u", "a"), "u").join(head("v", "b"), "v").select("a", "b")
-    met = _stars(_keys(each)).unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Documents of one fingerprint meet those of each near one too.
+    shared = cut(each.groupBy(F.col("fp").alias("_fp")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_fp"))
+    crowd = lambda c: near.join(shared, F.col(c) == F.col("_fp"), "left_semi")
+    beside = crowd("u").unionByName(crowd("v")).distinct().select(F.xxhash64(F.lit("near"), "u", "v").alias("key"), F.explode(F.array("u", "v")).alias("_fp"))
+    keys = stored(_keys(each).unionByName(beside.join(each.select("doc", "fp"), F.col("fp") == F.col("_fp")).select("doc", "key")), "keys")
+    met = _stars(keys).unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(_promising(met, each), "pairs")
     freed(docs.sparkSession)
     texts = base.select(key(F.col("_id"), F.col("_text")).alias("doc"), F.col("_text").alias("text"))
@@ -298,10 +379,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = pairs.join(chosen, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = stored(apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
     more = similar_pairs(texts, rest, words, least)
-    roots = components(edges.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    some = components(edges.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    last = _links_within(keys, each, some, texts, words, least)
+    roots = components(edges.unionByName(more).unionByName(last).select(F.col("a").alias("u"), F.col("b").alias("v")))
     rooted = each.select("doc", "id").join(roots, F.col("doc") == F.col("node"))
     stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("x")).select("root", F.col("x.doc").alias("stays"))
     gone = stored(rooted.join(stays, "root").filter("doc <> stays").select(F.col("doc").alias("_gone")), "gone")
-    released(each, pairs, chosen, edges, rest, more)
+    released(each, keys, pairs, chosen, edges, rest, more, last)
     freed(docs.sparkSession)
     return docs.join(gone, key(F.col(id_col), text_or_empty(text_col)) == F.col("_gone"), "left_anti")

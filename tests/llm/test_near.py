@@ -146,6 +146,20 @@ def test_many_copies_of_one_fingerprint(spark):
     assert [r.doc_id for r in simhash.representatives(df).collect()] == [0]
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_pairs_of_a_crowded_key(spark, monkeypatch, block):
+    """Pairs of near copies that share one key with all others: what the key's least document resembles is not all that is alike there."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "_keys", lambda each: each.selectExpr("doc", "CAST(1 AS bigint) AS key"))
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == list(range(0, 80, 2))
+
+
 def test_all_pairs_of_balls(spark):
     # Every pair within 2 bits, also where many fingerprints share a half.
     rng = random.Random(6)
