@@ -147,7 +147,7 @@ def stamped_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_measures()} SELECT model, metric, mean FROM ({SUMMARY}), (VALUES ('first'), ('second')) AS t(model)")
 def evaluation_history(spark: SparkSession, sf: str) -> DataFrame:
     out = io.new_folder(spark, "evaluations")
-    rows = evaluate.summary(evaluate.per_query(knn_hits(spark, sf, sampled=True), label_judgments(spark, sf)), "knn")
+    rows = io.stored(evaluate.summary(evaluate.per_query(knn_hits(spark, sf, sampled=True), label_judgments(spark, sf)), "knn"), "summary")
     for model in ("first", "second"):
         io.append_evaluation(rows, out, model, F.lit("2024-01-01").cast("timestamp_ntz"))
     return spark.read.parquet(out).select("model", "metric", "mean")
