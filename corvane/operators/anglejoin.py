@@ -2,9 +2,9 @@
 
 Entries lie in blocks: their nearest pivot, and the ring of their angle to it. A query whose
 angle to the pivot is further from a block's least and largest angle than the threshold's
-angle cannot reach any entry there, by the triangle inequality, so it is not sent to the
-block; no product with the block's entries is made. What reaches a block is compared in
-matrices of bounded size.
+angle cannot reach any entry there, by the triangle inequality, so no product with the
+block's entries is made. Queries and entries (in order of their blocks) meet as matrices of
+ROWS rows in a cross join of those; no query is written once for each block that it reaches.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from ..functions.vector import cosine
 from ..sources.tables import released, stored
 from .ivf import _unit
 
-#: Pivots at most (with RINGS of each they bound what the driver and tasks hold of blocks), and rows of a matrix.
-PIVOTS, RINGS, ROWS = 512, 24, 2048
+#: Pivots at most (with RINGS of each they bound what the driver and tasks hold of blocks), rows of a matrix, and queries that are held against all blocks at once.
+PIVOTS, RINGS, ROWS, SLICE = 512, 24, 2048, 256
 #: Room for rounding, in cosines and in angles.
 NEAR, SLACK = 1e-6, 1e-6
 
@@ -40,16 +40,6 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
 
-def _rows(ids: np.ndarray, x: np.ndarray, block: np.ndarray) -> Iterator[tuple]:
-    """(block, ids, matrix) as bytes, of at most ROWS rows."""
-    by = np.argsort(block, kind="stable")
-    starts = np.r_[np.flatnonzero(np.r_[True, np.diff(block[by]) != 0]), len(by)] if len(by) else [0]
-    for a, b in zip(starts, starts[1:], strict=False):
-        for at in range(a, b, ROWS):
-            part = by[at : min(b, at + ROWS)]
-            yield int(block[part[0]]), ids[part].tobytes(), x[part].tobytes()
-
-
 def nearest_within(queries: DataFrame, entries: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> tuple[DataFrame, DataFrame]:
     """query_id, doc_id, score: the nearest entry of each query whose cosine (at ``digits`` places) is ``least`` or more, ties to the smaller id; and one row of pairs of queries and blocks, and of those compared.
 
@@ -83,42 +73,59 @@ def nearest_within(queries: DataFrame, entries: DataFrame, least: float, id_col:
                 angle = a[np.arange(len(x)), near]
                 yield pd.DataFrame({"e": f["e"], "v": list(x), "block": (near * (RINGS + 1) + (angle / wide).astype(int)).astype(np.int32), "angle": angle})
 
-    dealt = stored(held.mapInPandas(placed, "e bigint, v array<double>, block int, angle double").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", F.pmod("e", F.lit(16))), "dealt")
+    dealt = stored(held.mapInPandas(placed, "e bigint, v array<double>, block int, angle double").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "e").sortWithinPartitions("block", "e"), "dealt")
     # At most PIVOTS x (RINGS + 1) rows.
     rows = dealt.groupBy("block").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")).orderBy("block").collect()
     block = np.array([r["block"] for r in rows], np.int32)
     pivot, lo, hi = block // (RINGS + 1), np.array([r["lo"] for r in rows]), np.array([r["hi"] for r in rows])
 
-    def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                x, ids = _unit(_matrix(f["v"])), f["q"].to_numpy(np.int64)
-                a = _angles(x, pivots)[:, pivot]
-                row, b = np.nonzero(np.maximum(a - hi, lo - a) <= reach)
-                yield pd.DataFrame(list(_rows(ids[row], x[row], block[b])), columns=["block", "qi", "qm"])
+            for at in range(0, len(f), SLICE):
+                a = _angles(_unit(_matrix(f["v"].iloc[at : at + SLICE])), pivots)[:, pivot]
+                yield pd.DataFrame({"n": [int((np.maximum(a - hi, lo - a) <= reach).sum())]})
+
+    def asking(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), ROWS):
+                part = f.iloc[at : at + ROWS]
+                yield pd.DataFrame([(part["q"].to_numpy(np.int64).tobytes(), _unit(_matrix(part["v"])).tobytes())], columns=["qi", "qm"])
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                yield pd.DataFrame(list(_rows(f["e"].to_numpy(np.int64), _matrix(f["v"]), f["block"].to_numpy())), columns=["block", "ei", "em"])
+            for at in range(0, len(f), ROWS):
+                part = f.iloc[at : at + ROWS]
+                yield pd.DataFrame([(part["e"].to_numpy(np.int64).tobytes(), _matrix(part["v"]).tobytes(), part["block"].to_numpy(np.int32).tobytes())], columns=["ei", "em", "eb"])
 
     def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for qi, qm, ei, em in zip(f["qi"], f["qm"], f["ei"], f["em"], strict=True):
-                q, e = np.frombuffer(qi, np.int64), np.frombuffer(ei, np.int64)
-                s = np.frombuffer(qm).reshape(len(q), -1) @ np.frombuffer(em).reshape(len(e), -1).T
-                # A query's best here, and what rounding may make equal to it.
-                i, j = np.nonzero((s >= least - NEAR) & (s >= s.max(1, keepdims=True) - 2 * 10.0**-digits))
-                yield pd.DataFrame({"q": q[i], "e": e[j], "s": s[i, j]})
-
-    asked = stored(order.mapInPandas(sent, "block int, qi binary, qm binary"), "asked")
-    blocks = dealt.select("e", "v", "block").mapInPandas(packed, "block int, ei binary, em binary")
-    found = blocks.join(asked, "block").select("qi", "qm", "ei", "em").mapInPandas(compared, "q bigint, e bigint, s double")
+            for qi, qm, ei, em, eb in zip(f["qi"], f["qm"], f["ei"], f["em"], f["eb"], strict=True):
+                q, e, b = np.frombuffer(qi, np.int64), np.frombuffer(ei, np.int64), np.frombuffer(eb, np.int32)
+                x, y = np.frombuffer(qm).reshape(len(q), -1), np.frombuffer(em).reshape(len(e), -1)
+                edges = np.r_[0, np.flatnonzero(np.diff(b)) + 1, len(b)]
+                out, best = [], np.full(len(q), least - NEAR)
+                for first, last in zip(edges, edges[1:], strict=False):
+                    k = np.searchsorted(block, b[first])
+                    angle = _angles(x, pivots[pivot[k], None])[:, 0]
+                    row = np.flatnonzero(np.maximum(angle - hi[k], lo[k] - angle) <= reach)
+                    if not len(row):
+                        continue
+                    s = x[row] @ y[first:last].T
+                    best[row] = np.maximum(best[row], s.max(1))
+                    # A query's best so far, and what rounding may make equal to it.
+                    i, j = np.nonzero((s >= least - NEAR) & (s >= best[row, None] - 2 * 10.0**-digits))
+                    out.append(pd.DataFrame({"q": q[row[i]], "e": e[first + j], "s": s[i, j]}))
+                if out:
+                    yield pd.concat(out)
+
+    asks = order.mapInPandas(asking, "qi binary, qm binary")
+    blocks = dealt.select("e", "v", "block").mapInPandas(packed, "ei binary, em binary, eb binary")
+    found = blocks.crossJoin(asks).mapInPandas(compared, "q bigint, e bigint, s double")
     top = found.withColumn("top", F.max("s").over(Window.partitionBy("q"))).filter(F.col("s") >= F.col("top") - 2 * 10.0**-digits).select("q", "e").distinct()
     near = stored(top, "near")
     scored = near.join(held.withColumnRenamed("v", "ve"), "e").join(order.withColumnRenamed("v", "vq"), "q").select("q", "e", F.round(cosine(F.col("vq"), F.col("ve")), digits).alias("score"))
     best = scored.filter(F.col("score") >= least).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "e"))).filter("n = 1")
     all_pairs = order.agg((F.count(F.lit(1)) * len(rows)).alias("pairs"))
-    report = stored(all_pairs.crossJoin(asked.agg(F.coalesce(F.sum(F.octet_length("qi") / 8), F.lit(0)).cast("bigint").alias("compared"))), "report")
-    released(dealt, asked)
+    report = stored(all_pairs.crossJoin(order.mapInPandas(reached, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))), "report")
+    released(dealt)
     return best.select(F.col("q").alias("query_id"), F.col("e").alias("doc_id"), "score"), report

@@ -47,3 +47,12 @@ def test_odd_vectors(spark):
     assert anglejoin.nearest_within(df, none, 0.5)[0].count() == 0 and anglejoin.nearest_within(none, df, 0.5)[0].count() == 0
     with pytest.raises(ValueError, match="least"):
         anglejoin.nearest_within(df, df, 0.0)
+
+
+def test_no_query_is_written_for_each_block(spark, monkeypatch):
+    """What is stored on the way does not hold the queries' vectors once for each block that they reach."""
+    names, stored = [], anglejoin.stored
+    monkeypatch.setattr(anglejoin, "stored", lambda df, name: names.append((name, df.columns)) or stored(df, name))
+    x = np.random.default_rng(7).normal(size=(400, 8))
+    anglejoin.nearest_within(frame(spark, x), frame(spark, x, 1000), 0.5)
+    assert not [name for name, columns in names if "qm" in columns]
