@@ -31,6 +31,8 @@ WIDER, LEAST = 10, 100
 FILE = 500_000
 #: Rows that a scanning task holds before it drops what is out of a query's best.
 HELD = 500_000
+#: Vectors that are held against all centres at once; queries, and codes, of a row of those that meet.
+SLICE, ROWS, CODES = 512, 2048, 1 << 18
 
 
 @dataclass
@@ -51,6 +53,12 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return np.vstack(v.to_numpy()).astype(np.float32)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n centres that each row of x points at most, SLICE rows at a time."""
+    parts = [np.argsort(-(x[at : at + SLICE] @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32) for at in range(0, len(x), SLICE)]
+    return np.concatenate(parts)
+
+
 def k_means(x: np.ndarray, k: int, spherical: bool, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """k centres of the rows of x (fewer rows: the rows, repeated)."""
     c = x[np.random.default_rng(seed).permutation(max(k, len(x)))[:k] % len(x)].copy()
@@ -89,7 +97,7 @@ def fit(corpus: DataFrame, folder: str, cells: int | None = None, id_col: str =
     def coarse(f: pd.DataFrame) -> pd.DataFrame:
         x = _unit(_matrix(f.sort_values("id")["v"]))
         c = k_means(x, k, True)
-        share = np.bincount((x @ c.T).argmax(1), minlength=k) / len(x)
+        share = np.bincount(_nearest(x, c, 1)[:, 0], minlength=k) / len(x)
         return pd.DataFrame({"i": np.arange(len(c), dtype=np.int32), "v": list(c), "share": share})
 
     made = sorted(some.groupBy().applyInPandas(coarse, "i int, v array<float>, share double").collect()) if n else []
@@ -100,7 +108,7 @@ def fit(corpus: DataFrame, folder: str, cells: int | None = None, id_col: str =
         for f in frames:
             if len(f):
                 x = _unit(_matrix(f["v"]))
-                p = _parts(x - centres[(x @ centres.T).argmax(1)])
+                p = _parts(x - centres[_nearest(x, centres, 1)[:, 0]])
                 yield pd.DataFrame({"j": np.tile(np.arange(p.shape[1], dtype=np.int32), len(p)), "id": np.repeat(f["id"].to_numpy(), p.shape[1]), "v": list(p.reshape(-1, PART))})
 
     def book(f: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +133,7 @@ def build(corpus: DataFrame, folder: str | None = None, cells: int | None = None
                 continue
             raw = _matrix(f["v"])
             x = _unit(raw)
-            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :copies].astype(np.int32)
+            near = _nearest(x, centres, copies)
             for c in range(copies):
                 p = _parts(x - centres[near[:, c]])
                 code = np.stack([(p[:, j] @ books[j].T - half[j]).argmax(1) for j in range(p.shape[1])], 1).astype(np.uint8)
@@ -152,22 +160,15 @@ def probes_of(index: InvertedFile) -> int:
 
 
 def _asked(order: DataFrame, index: InvertedFile, probes: int) -> DataFrame:
-    """cell, qi, qm: for each batch of queries (q, v) and each cell that some of them probe, their ids and vectors."""
+    """cell: those that some of a batch of queries (q, v) probe."""
     centres = index.centres
 
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f):
-                continue
-            x, ids = _unit(_matrix(f["v"])), f["q"].to_numpy(np.int64)
-            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-            row, cell = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
-            by = np.argsort(cell, kind="stable")
-            row, cell = row[by], cell[by]
-            starts = np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)]
-            yield pd.DataFrame([(cell[a], ids[row[a:b]].tobytes(), x[row[a:b]].tobytes()) for a, b in zip(starts, starts[1:], strict=False)], columns=["cell", "qi", "qm"])
+            if len(f):
+                yield pd.DataFrame({"cell": np.unique(_nearest(_unit(_matrix(f["v"])), centres, probes))})
 
-    return order.mapInPandas(places, "cell int, qi binary, qm binary")
+    return order.mapInPandas(places, "cell int")
 
 
 def pruned(spark: SparkSession, index: InvertedFile, cells: DataFrame, columns: list[str]) -> DataFrame:
@@ -192,42 +193,75 @@ def search(queries: DataFrame, index: InvertedFile, k: int, probes: int | None =
     centres, books = index.centres, index.books
     if not len(centres):
         return spark.createDataFrame([], "query_id bigint, doc_id bigint, rank int, score double")
-    asked = stored(_asked(order, index, probes).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell"), "asked")
+    asked = stored(_asked(order, index, probes).distinct(), "asked")
+
+    def asking(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), ROWS):
+                part = f.iloc[at : at + ROWS]
+                yield pd.DataFrame([(part["q"].to_numpy(np.int64).tobytes(), _unit(_matrix(part["v"])).tobytes())], columns=["qi", "qm"])
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def row() -> pd.DataFrame:
+            f = pd.concat(held).sort_values(["cell", "id"])
+            return pd.DataFrame([(f["cell"].to_numpy(np.int32).tobytes(), f["id"].to_numpy(np.int64).tobytes(), f["home"].to_numpy(np.int32).tobytes(), b"".join(f["code"]))], columns=["cells", "ids", "homes", "codes"])
+
         for f in frames:
-            yield pd.DataFrame([(c, g["id"].to_numpy(np.int64).tobytes(), g["home"].to_numpy(np.int32).tobytes(), b"".join(g["code"])) for c, g in f.groupby("cell")], columns=["cell", "ids", "homes", "codes"])
+            held.append(f)
+            n += len(f)
+            if n >= CODES:
+                yield row()
+                held, n = [], 0
+        if n:
+            yield row()
 
     def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
         for f in frames:
-            for cell, ids, homes, codes, qi, qm in zip(f["cell"], f["ids"], f["homes"], f["codes"], f["qi"], f["qm"], strict=True):
-                ids, homes = np.frombuffer(ids, np.int64), np.frombuffer(homes, np.int32)
+            for cells, ids, homes, codes, qi, qm in zip(f["cells"], f["ids"], f["homes"], f["codes"], f["qi"], f["qm"], strict=True):
+                cells, ids, homes = np.frombuffer(cells, np.int32), np.frombuffer(ids, np.int64), np.frombuffer(homes, np.int32)
                 code = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                # What the codes stand for: the centre and the books' entries.
-                near = centres[cell] + books[np.arange(code.shape[1]), code].reshape(len(ids), -1)[:, : centres.shape[1]]
                 q = np.frombuffer(qi, np.int64)
                 x = np.frombuffer(qm, np.float32).reshape(len(q), -1)
-                for at in range(0, len(q), 256):
-                    part = x[at : at + 256]
-                    s = part @ near.T
-                    if s.shape[1] > most:
-                        i = np.repeat(np.arange(len(part)), most)
-                        e = np.argpartition(-s, most - 1, axis=1)[:, :most].ravel()
-                    else:
-                        i, e = (y.ravel() for y in np.indices(s.shape))
-                    held.append(pd.DataFrame({"q": q[at + i], "id": ids[e], "home": homes[e], "approx": s[i, e]}))
-                    rows += len(i)
-                    if rows > HELD:
-                        held = [_best(pd.concat(held), most)]
-                        if (rows := len(held[0])) > HELD // 2:
-                            yield held.pop()
-                            rows = 0
-        if held:
-            yield _best(pd.concat(held), most)
-
-    blocks = pruned(spark, index, asked, ["id", "home", "code"]).mapInPandas(packed, "cell int, ids binary, homes binary, codes binary")
-    met = blocks.join(asked, "cell").select("cell", "ids", "homes", "codes", "qi", "qm").mapInPandas(scanned, "q bigint, id bigint, home int, approx float")
+                # What a query has of ``most`` better ones is dropped.
+                held, rows, least = [], 0, np.full(len(q), -np.inf, np.float32)
+                probed = np.zeros((len(centres), len(q)), bool)
+                probed[_nearest(x, centres, probes), np.arange(len(q))[:, None]] = True
+                edges = np.r_[0, np.flatnonzero(np.diff(cells)) + 1, len(cells)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    asks = np.flatnonzero(probed[cells[a]])
+                    if not len(asks):
+                        continue
+                    # What the codes stand for: the centre and the books' entries.
+                    near = centres[cells[a]] + books[np.arange(code.shape[1]), code[a:b]].reshape(b - a, -1)[:, : centres.shape[1]]
+                    for at in range(0, len(asks), 256):
+                        part = asks[at : at + 256]
+                        s = x[part] @ near.T
+                        if s.shape[1] > most:
+                            i = np.repeat(np.arange(len(part)), most)
+                            e = np.argpartition(-s, most - 1, axis=1)[:, :most].ravel()
+                        else:
+                            i, e = (y.ravel() for y in np.indices(s.shape))
+                        keep = s[i, e] >= least[part[i]]
+                        i, e = i[keep], e[keep]
+                        held.append(pd.DataFrame({"q": q[part[i]], "id": ids[a + e], "home": homes[a + e], "approx": s[i, e], "at": part[i]}))
+                        rows += len(i)
+                        if rows > HELD:
+                            held = [_best(pd.concat(held), most)]
+                            last = held[0].groupby("at")["approx"].agg(["size", "min"])
+                            last = last[last["size"] == most]
+                            least[last.index] = np.maximum(least[last.index], last["min"])
+                            if (rows := len(held[0])) > HELD // 2:
+                                yield held.pop().drop(columns="at")
+                                rows = 0
+                if held:
+                    yield _best(pd.concat(held), most).drop(columns="at")
+
+    codes = pruned(spark, index, asked, ["id", "home", "code"])
+    # As few rows as hold the codes: each meets all rows of queries.
+    blocks = codes.repartition(max(1, -(-codes.count() // CODES))).mapInPandas(packed, "cells binary, ids binary, homes binary, codes binary")
+    met = blocks.crossJoin(order.mapInPandas(asking, "qi binary, qm binary")).mapInPandas(scanned, "q bigint, id bigint, home int, approx float")
     if exclude_self:
         met = met.filter("q <> id")
     once = met.groupBy("q", "id").agg(F.max("approx").alias("approx"), F.max("home").alias("home"))

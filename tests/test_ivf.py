@@ -59,3 +59,12 @@ def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     index = ivf.build(df)
     assert ivf.search(df, index, 5).columns == ["query_id", "doc_id", "rank", "score"] and ivf.search(df, index, 5).count() == 0
+
+
+def test_no_query_is_written_for_each_cell(spark, monkeypatch):
+    """What is stored on the way does not hold the queries' vectors once for each cell that they probe."""
+    held, stored = [], ivf.stored
+    monkeypatch.setattr(ivf, "stored", lambda df, name: held.append(df.columns) or stored(df, name))
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    ivf.search(e, ivf.build(e, cells=20), 3)
+    assert held and not [columns for columns in held if "qm" in columns]
